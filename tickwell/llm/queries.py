@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, near_dedup, token_output
+from . import language_id, near_dedup, token_output, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.withColumn("held_out", out), model, keep=["doc_id", "held_out"])
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), lambda name: ~F.coalesce(toxicity.held_out(name), F.lit(False)))
+    return toxicity.score(docs.withColumn("held_out", F.coalesce(toxicity.held_out(), F.lit(False))), model, keep=["doc_id", "held_out"])
+
+
 def tokenizer_path() -> str:
     """The vocabulary file, as installed on each machine."""
     import public_tokenizers
