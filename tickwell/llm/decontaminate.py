@@ -97,7 +97,8 @@ def find_leaks(
         windows = laid if windows is None else windows.union(laid)
     windows = materialise(windows, "windows")
     held = windows.groupBy("doc_id", "th").agg(F.collect_set(F.struct("width", "k", "start")).alias("at"))
-    texts = source.join(held, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    # always a shuffle join: windows may outgrow a broadcast, and the cost should not jump when they do
+    texts = source.join(held.hint("merge"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     cut = None
     for width in widths:
         part = _with_shingles(texts, F.col("text"), width).select("doc_id", "th", "h", F.explode(F.expr(f"filter(at, a -> a.width = {width})")).alias("a"))
