@@ -182,14 +182,14 @@ def near_duplicates(
     buckets = materialise(keyed.join(shared.select("key"), "key"), "buckets")
     wanted = buckets.select("rep").distinct().join(classes.select("rep", "set_a"), "rep")
     texts = materialise(
-        source.join(wanted, source.doc_id == wanted.rep).select("rep", "set_a", "text").mapInArrow(_matching_text, "rep long, text string").dropDuplicates(["rep"]),
+        source.join(wanted.hint("merge"), source.doc_id == wanted.rep).select("rep", "set_a", "text").mapInArrow(_matching_text, "rep long, text string").dropDuplicates(["rep"]),
         "texts",
     )
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = pairs.filter(f"100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)").select("a", "b").distinct()
-        told = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(
-            texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b"
+        told = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(
+            texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b"
         )
         return materialise(told.mapInArrow(_verified(similarity), "a long, b long"), "links")
 
