@@ -78,7 +78,7 @@ class Model:
         lang = np.array([of[x[0]] for x in counts], np.int64)
         gram = np.array([x[1] for x in counts], np.int64)
         count = np.array([x[2] for x in counts], np.float64)
-        seen = np.unique(gram & 255)
+        seen = np.unique(np.append(gram & 255, 0))  # the zero bytes before a text are a byte of their own
         self.code = np.zeros(256, np.int64)
         self.code[seen] = np.arange(1, len(seen) + 1)
         size = self.size = len(seen) + 1
