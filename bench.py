@@ -21,7 +21,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    market.QUERIES["s1_bars"](spark, sf).count()
+    market.QUERIES["w1_ema"](spark, sf).count()
     took = {}
     for name in HEADLINES:
         began = time.time()

@@ -69,6 +69,14 @@ def signal_inputs(frame: DataFrame, entry: str, exit_: str, run_id: str) -> Data
     )
 
 
+def signal_runs(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """The inputs of several strategies from entry_<key> and exit_<key>; the frame is computed once."""
+    flag = lambda c: F.coalesce(F.lag(c).over(by_ticker()), F.lit(False))
+    runs = F.array(*[F.struct(F.lit(k).alias("run_id"), flag(f"entry_{k}").alias("enter"), flag(f"exit_{k}").alias("leave")) for k in keys])
+    base = frame.select("ticker", "date", "open", "low", "close", F.lag("atr14").over(by_ticker()).alias("atr"), F.lag("date").over(by_ticker()).alias("before"), runs.alias("runs"))
+    return base.select("ticker", "date", "open", "low", "close", "atr", "before", F.inline("runs"))
+
+
 def signal_trades(inputs: DataFrame, cfg: TradeConfig | None = None) -> DataFrame:
     """Rows of TRADES with kind 'trade' or 'equity'. Cash and slots couple a run's tickers session by session, so a
     run is one group; strategies, parameters and universes run beside each other as groups of their own."""
@@ -124,6 +132,8 @@ def signal_trades(inputs: DataFrame, cfg: TradeConfig | None = None) -> DataFram
         out = pd.DataFrame(rows).reindex(columns=names)
         out["run_id"] = d["run_id"].iloc[0]
         out["days"] = out["days"].astype("Int32")
+        for name in ("signal_date", "entry_date", "exit_date", "date", "ticker", "reason", "kind"):  # a run may have no trades at all
+            out[name] = out[name].astype(object).where(out[name].notna(), None)
         return out
 
     return inputs.groupBy("run_id").applyInPandas(loop, TRADES)

@@ -173,10 +173,7 @@ def b1(spark, sf):
 def b3(spark, sf):
     """Eight strategies side by side, one group each."""
     frame = signals.strategy_signals(_frame(spark, sf, "p_brand").filter("ticker <> 'MKT'"))
-    runs = None
-    for k in signals.STRATEGIES:
-        own = backtest.signal_inputs(frame, f"entry_{k}", f"exit_{k}", k)
-        runs = own if runs is None else runs.union(own)
+    runs = backtest.signal_runs(frame, signals.STRATEGIES)
     return rounded(backtest.signal_trades(runs).filter("kind = 'trade'").drop("date", "equity", "kind"))
 
 
