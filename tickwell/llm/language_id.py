@@ -6,8 +6,9 @@ distinct ones), and below the empty context all 256 bytes are equally likely. Wi
 length of a byte depends on its last `order` bytes alone, so the trees are laid out as tables and scoring a text
 is a sum of look-ups.
 
-Training reads at most about `sample` documents of each language (drawn by a hash of their ids, whole texts), and
-keeps the `contexts` most frequent contexts of the longest order; both bound the model that goes to the tasks.
+Training reads at most about `sample` documents of each language (drawn by a hash of their ids, whole texts). The
+classifier is fitted on the `sequences` most frequent (language, sequence of order + 1 bytes) counts of that sample
+and keeps the `contexts` most frequent contexts of the longest order; these bound the model that goes to the tasks.
 
 Results: the language with the shortest code; its score is the posterior 1 / sum(2**(L_best - L_i)) under equal
 priors. Null text, text without any letter, and every text where nothing could be learnt give `und` with score 0.
@@ -145,7 +146,7 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = 1500, contexts: int = 40_000, languages: int = 64) -> Model | None:
+def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = 1500, contexts: int = 40_000, languages: int = 64, sequences: int = 400_000) -> Model | None:
     """Model from rows where `learnable` holds and lang is not null: about `sample` documents of each of the
     `languages` most frequent languages. None if there are no such rows."""
     rows = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -155,7 +156,7 @@ def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col:
     share = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], sample / r["count"])])
     drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000
     counts = rows.filter(drawn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(grams, "lang string, gram long, n long")
-    most = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(400_000)
+    most = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(sequences)
     found = [(r["lang"], r["gram"], r["n"]) for r in most.collect()]
     return Model(found, contexts) if found else None
 
