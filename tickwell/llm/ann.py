@@ -4,7 +4,8 @@ Fitting: coarse centroids and residual codebooks by k-means in numpy on at most
 smallest hashes of their ids). Indexing: every vector gets its coarse list and one byte for each sub-space of its
 residual. Searching: a query probes the `probes` lists with the largest centroid products; a list is split into
 blocks of at most about `block` rows by a hash of the id, so that a list with a third of all rows is many tasks,
-and a query visits each block of its lists. In a block, asymmetric distance tables rank the codes, the best
+and a query visits each block of its lists. Queries go in parts of about `queries_at_once`, each part against its
+own copy of the blocks, so that no task holds all queries. In a block, asymmetric distance tables rank the codes, the best
 `rerank` go through exact double-precision products on the original vectors, and k leave the block. A query with
 fewer than k results then visits every list.
 
@@ -96,7 +97,7 @@ def usable(vectors: DataFrame, vector_col: str) -> DataFrame:
 
 def search(
     vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", lists: int | None = None,
-    probes: int | None = None, subspaces: int = 16, rerank: int = 200, sample: int = 16_384, block: int = 4096, recall: float = 0.97,
+    probes: int | None = None, subspaces: int = 16, rerank: int = 200, sample: int = 16_384, block: int = 4096, recall: float = 0.97, queries_at_once: int = 32_768,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of every row where `is_query` holds, itself left out."""
     spark = vectors.sparkSession
@@ -123,7 +124,9 @@ def search(
 
     table = materialise(rows.mapInPandas(coded, "vec_id long, v array<double>, q boolean, list long, code binary"), "vectors")
     counts = table.groupBy("list").agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("blocks"))
+    parts = max(1, -(-table.filter("q").count() // queries_at_once))
     members = table.join(counts, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v", "code")
+    members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def probing(most: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,8 +165,9 @@ def search(
 
     def found(queries: DataFrame, most: int) -> DataFrame:
         asked = queries.select("vec_id", "v").mapInPandas(probing(most), "query_id long, qv array<double>, list long")
-        asked = asked.join(counts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "qv")
-        met = members.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(visit, "query_id long, vec_id long, score double")
+        part = F.pmod(F.xxhash64("query_id", F.lit(9)), F.lit(parts)).cast("int").alias("part")
+        asked = asked.join(counts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part, "query_id", "qv")
+        met = members.groupBy("list", "block", "part").cogroup(asked.groupBy("list", "block", "part")).applyInPandas(visit, "query_id long, vec_id long, score double")
         rank = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"
         return met.distinct().withColumn("rank", F.expr(rank).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
