@@ -29,7 +29,7 @@ from .common import materialise, mix, slices, text_buffer, word_hashes
 
 SHINGLE = 5
 _PLACE = mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
-_CHUNK = 4_000_000
+_CHUNK = 1_000_000  # bytes of text whose hashes are held at once; a longer text stands alone
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,11 +125,12 @@ def _matching_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Rows whose text has the set fingerprint asked for (ids may be repeated with other texts)."""
     for batch in batches:
         data, offsets = text_buffer(batch.column(2))
-        sets, at = shingle_sets(data, offsets)
         got = np.zeros(len(offsets) - 1, np.uint64)
-        some = np.flatnonzero(np.diff(at))
-        if len(some):
-            got[some] = np.add.reduceat(mix(sets), at[some])
+        for a, b in slices(offsets, _CHUNK):
+            sets, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            some = np.flatnonzero(np.diff(at))
+            if len(some):
+                got[a + some] = np.add.reduceat(mix(sets), at[some])
         keep = got.view(np.int64) == batch.column(1).to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["rep", "text"]).filter(pa.array(keep))
 
