@@ -191,6 +191,17 @@ def test_wrappers_hold_slots_and_groups(spark):
     assert got[2] == ("T2\npar 2 0\npar 2 1\npar 2 2", 26) and got[9] == ("", 0)
 
 
+def test_templates_of_one_host_do_not_empty_each_other(spark):
+    def body(i, n=3):
+        return "".join(f"<p>{sentence(50 * i + k, 12)}</p>" for k in range(n))
+
+    kinds = [lambda i: f"<body><article>{body(i)}</article></body>", lambda i: f"<body><div class=story>{body(i)}</div><div class=extra>x{i}</div></body>", lambda i: f"<body><table><tr><td>{body(i)}</table></body>"]
+    rows = [(i, f"http://mixed.org/{i}", kinds[min(i % 8, 2) if i % 8 < 2 else i % 2](i)) for i in range(40)] + [(40, "http://mixed.org/40", kinds[2](40))]
+    rows += [(50 + i, [None, "", "no scheme"][i % 3], kinds[i % 3](50 + i)) for i in range(12)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(sentence(50 * i + k, 12) for k in range(3)) for i, _, _ in rows}
+
+
 def test_tokens_round_trip(spark):
     from tokenizers import Tokenizer
 
