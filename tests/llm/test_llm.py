@@ -202,6 +202,20 @@ def test_templates_of_one_host_do_not_empty_each_other(spark):
     assert got == {i: "\n".join(sentence(50 * i + k, 12) for k in range(3)) for i, _, _ in rows}
 
 
+def test_constant_places_are_template_and_words_only_break_ties(spark):
+    frame = {0: "<div class='page has-sidebar'>{}</div>", 1: "<form id=aspnet>{}</form>", 2: "<div class=related-content>{}</div>"}
+    rows, want = [], {}
+    for i in range(18):
+        own = [sentence(10 * i + k, 12) for k in range(2)]
+        text = f"<div class=story><p>{own[0]}</p><p>Read our paper every day of the week.</p><p>{own[1]}</p></div><div class=sidebar><p>seen {i}</p></div>"
+        rows.append((i, f"http://h{i % 3}.org/{i}", "<body>" + frame[i % 3].format(text) + "</body>"))
+        want[i] = "\n".join(own)
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    copies = spark.createDataFrame([(i, "http://copies.org/", rows[0][2]) for i in range(8)], "page_id long, url string, html string")
+    assert all(sentence(0, 12) in r.text for r in html_extract.extract(copies).collect())
+
+
 def test_tokens_round_trip(spark):
     from tokenizers import Tokenizer
 
