@@ -68,6 +68,29 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontaminate.find_leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_edited_passages_just_above_the_threshold_are_all_found(spark):
+    lead = "as said in the notes of the last chapter of this book".split()
+    items = {i: [*lead, *sentence(300 + i, 30 + i % 11).split()] for i in range(60)}
+    texts, near = [], {}
+    for i, words in items.items():
+        for at in (len(lead) + 10, len(lead) + 15):
+            edited = words.copy()
+            edited[at] = "edited"
+            near[len(texts)] = i
+            texts.append(" ".join([sentence(900 + i), *edited, sentence(1900 + i)]))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = decontaminate.find_leaks(docs(spark, texts), bench).collect()
+    bags = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in items.items()}
+    weight = {s: np.log(1 + 60 / sum(s in b for b in bags.values())) for b in bags.values() for s in b}
+    want = set()
+    for d, i in near.items():
+        w = texts[d].lower().split()[60 : 60 + len(items[i])]
+        own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        both, either = (sum(weight.get(s, np.log(61)) for s in x) for x in (own & bags[i], own | bags[i]))
+        want |= {(d, i)} if both >= 0.75 * either else set()
+    assert len(want) > 60 and {(r.doc_id, r.item_id) for r in got} == want and all(r.similarity < 0.86 for r in got)
+
+
 def test_language_and_toxicity_on_held_out_rows(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     told = queries.op4_language_id(spark, SF).join(table.select("doc_id", "lang"), "doc_id").filter("held_out").collect()

@@ -7,7 +7,9 @@ all others have similarity 0 and are never built.
 
 Every window and item gets a 64-bit SimHash of its shingles, weighted by multiplicity. Four blocks of 16 bits are
 indexed; items are filed under every block value within `radius // 4` bits of their own, so that every pair within
-`radius` bits in all meets in a block (pigeonhole). Candidates within the radius are verified exactly: the weighted
+`radius` bits in all meets in a block (pigeonhole). Windows beyond the radius are candidates too if their document holds one
+of the item's rarest shingles, taken until they carry more than 1 - `similarity` of its weight: without one of them
+no window can reach `similarity`, so none that does is missed. Candidates are verified exactly: the weighted
 Jaccard similarity of the shingle multisets, a shingle of the item weighing log(1 + items / items that hold it),
 any other the largest weight, must reach `similarity`.
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, words
@@ -81,21 +83,31 @@ def find_leaks(
     places = items.select("no", "width", "k", F.posexplode("h").alias("place", "s"))
     rarity = places.groupBy("s").agg(F.log(1 + n_items / F.count_distinct("no")).alias("weight"))
     largest = F.lit(math.log(1 + n_items))
-    bags = places.groupBy("no", "s").agg(F.count("*").alias("tf")).join(rarity, "s").groupBy("no").agg(F.collect_list(F.struct("s", "tf", "weight")).alias("bag"))
+    weighed = materialise(places.groupBy("no", "s").agg(F.count("*").alias("tf")).join(rarity, "s"), "weighed")
+    bags = weighed.groupBy("no").agg(F.collect_list(F.struct("s", "tf", "weight")).alias("bag"))
     told = materialise(items.join(bags, "no").select("no", "item_id", "n", "k", "width", "fp", "bag"), "bags")
     small = places.count() <= broadcast_shingles
+    # an item's rarest shingles, as many as carry more than 1 - similarity of its weight: the others alone can't reach it
+    mass = F.col("tf") * F.col("weight")
+    all_, before = Window.partitionBy("no"), Window.partitionBy("no").orderBy(F.desc("weight"), "s").rowsBetween(Window.unboundedPreceding, -1)
+    rare = weighed.withColumn("total", F.sum(mass).over(all_)).withColumn("before", F.coalesce(F.sum(mass).over(before), F.lit(0.0)))
+    rare = rare.filter(F.col("before") <= (1 - similarity + 1e-9) * F.col("total")).select("no", "s", F.col("no").alias("rare"))
+    vocabularies = materialise(
+        places.join(rare, ["no", "s"], "left").groupBy("width", "s", "k", F.col("place").alias("item_place")).agg(F.collect_set("rare").alias("nos")), "vocabularies"
+    )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     source = source.withColumn("th", F.xxhash64("text"))
     windows: DataFrame | None = None
     for width in widths:
-        vocabulary = places.filter(F.col("width") == width).select("s", "k", F.col("place").alias("item_place")).distinct()
+        vocabulary = vocabularies.filter(F.col("width") == width).drop("width")
         hits = _with_shingles(source, F.col("text"), width).select("doc_id", "th", F.size("h").alias("m"), F.posexplode("h").alias("place", "s"))
         hits = hits.join(F.broadcast(vocabulary) if small else vocabulary, "s")
         start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("item_place"), F.col("m") - F.col("k")))
-        laid = hits.select("doc_id", "th", F.lit(width).alias("width"), "k", start.alias("start")).distinct()
+        laid = hits.select("doc_id", "th", F.lit(width).alias("width"), "k", start.alias("start"), F.explode_outer("nos").alias("no")).distinct()
         windows = laid if windows is None else windows.union(laid)
     windows = materialise(windows, "windows")
+    shared = windows.filter("no IS NOT NULL").select("doc_id", "th", "k", "width", "no").distinct()
     held = windows.groupBy("doc_id", "th").agg(F.collect_set(F.struct("width", "k", "start")).alias("at"))
     # always a shuffle join: windows may outgrow a broadcast, and the cost should not jump when they do
     texts = source.join(held.hint("merge"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
@@ -115,7 +127,9 @@ def find_leaks(
     asked = cut.select("doc_id", "th", "start", "k", "width", "fp", F.explode(blocks("fp")).alias("b")).select("doc_id", "th", "start", "k", "width", "fp", "b.j", "b.v")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     pairs = asked.join(filed, ["k", "width", "j", "v"]).withColumn("hamming", distance).filter(F.col("hamming") <= radius)
-    pairs = pairs.select("doc_id", "th", "start", "k", "width", "no", "hamming").distinct()
+    pairs = pairs.select("doc_id", "th", "start", "k", "width", "no", "hamming")
+    beyond = shared.join(cut.drop("win"), ["doc_id", "th", "k", "width"]).join(told.select("no", F.col("fp").alias("item_fp")), "no").withColumn("hamming", distance)
+    pairs = pairs.union(beyond.select(*pairs.columns)).distinct()
     full = pairs.join(cut.drop("fp"), ["doc_id", "th", "start", "k", "width"]).join(told.select("no", "item_id", "n", "bag"), "no")
     both = F.expr("aggregate(bag, 0D, (a, e) -> a + e.weight * least(e.tf, size(filter(win, x -> x = e.s))))")
     item = F.expr("aggregate(bag, 0D, (a, e) -> a + e.weight * e.tf)")
