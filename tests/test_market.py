@@ -126,3 +126,26 @@ def test_entry_imports_without_corpus_package():
     import __spark_entry__ as e
 
     assert len(e.queries()) >= 80 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_history_and_all_parts(spark):
+    from tickwell.sources import bars as src
+
+    had = {r.ticker for r in src.bars(spark, SF).select("ticker").distinct().collect()}
+    names = {r.p_name for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    assert {r.ticker for r in market.QUERIES["p10_all_missing"](spark, SF).collect()} == names - had
+    ret = [r.ret for r in montecarlo.pool(src.returns(src.bars(spark, SF)).filter("ticker = 'MKT'")).orderBy("k").collect()]
+    n, final = len(ret), []
+    from hashlib import md5
+
+    for p in range(1000):
+        days = []
+        for b in range(-(-n // 5)):
+            at = int(int(md5(f"7:{p}:{b}".encode()).hexdigest()[:12], 16) / 2.0**48 * n)
+            days += [ret[(at + o) % n] for o in range(5)]
+        final.append(np.cumprod(1 + np.array(days[:n])))
+    got = market.QUERIES["m7_equity_confidence_history"](spark, SF).first()
+    down = [min(0, (g / np.maximum.accumulate(np.maximum(g, 1)) - 1).min()) for g in final]
+    last = [g[-1] for g in final]
+    assert got.p50 == pytest.approx(np.percentile(last, 50) * 100, abs=1e-4) and got.dd_median == pytest.approx(np.percentile(down, 50), abs=1e-5)
+    assert got.prob_loss == pytest.approx(np.mean(np.array(last) < 1), abs=2e-6)

@@ -68,6 +68,13 @@ def p10(spark, sf):
     return wanted.join(src.bars(spark, sf).select("ticker").distinct(), "ticker", "left_anti")
 
 
+@query("p10_all_missing", with_bars(" SELECT DISTINCT p_name AS ticker FROM part WHERE p_name NOT IN (SELECT ticker FROM bars)"))
+def p10_all(spark, sf):
+    """J9 over every part; p10_missing asks for the first 49 keys."""
+    wanted = spark.read.parquet(f"{sf}/part.parquet").filter("p_name IS NOT NULL").select(F.col("p_name").alias("ticker")).distinct()
+    return wanted.join(src.bars(spark, sf).select("ticker").distinct(), "ticker", "left_anti")
+
+
 @query("w24_rolling_beta", with_bars(RETS + ", w AS (SELECT ticker, date, covar_samp(ret, bench) OVER k / nullif(var_pop(bench) OVER k, 0) AS beta, count(ret) OVER k AS n FROM rb WINDOW k AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) SELECT ticker, date, round(beta, 6) + 0 AS beta FROM w WHERE n = 63 AND beta IS NOT NULL"))
 def w24(spark, sf):
     return rounded(risk.rolling_beta(_rets(spark, sf)))
@@ -347,6 +354,45 @@ def m9(spark, sf):
     return rounded(montecarlo.dip_buy(_paths(spark, sf), 0.02, 0.03, 0.03))
 
 
+def _whole_paths(spark, sf):
+    """21 sessions on as many paths as the reference draws for a forecast."""
+    rets = src.returns(src.bars(spark, sf)).filter("ticker = 'MKT'")
+    return montecarlo.paths(spark, montecarlo.pool(rets), 21, 2000, 5, 7)
+
+
+@query("m3_fan_bands_2000")
+def m3_whole(spark, sf):
+    return rounded(montecarlo.fan_bands(_whole_paths(spark, sf)).withColumn("day", F.col("day").cast("int")))
+
+
+@query("m4_summarize_2000")
+def m4_whole(spark, sf):
+    return rounded(montecarlo.summarize(_whole_paths(spark, sf), 21))
+
+
+@query("m5_dip_probabilities_2000")
+def m5_whole(spark, sf):
+    return rounded(montecarlo.dip_probabilities(_whole_paths(spark, sf), [0.02, 0.05, 0.1]))
+
+
+@query("m6_best_entry_2000")
+def m6_whole(spark, sf):
+    return rounded(montecarlo.best_entry(_whole_paths(spark, sf)))
+
+
+@query("m7_equity_confidence_history")
+def m7_whole(spark, sf):
+    """M7 as the reference draws it: 1,000 paths as long as the series of returns."""
+    pool = montecarlo.pool(src.returns(src.bars(spark, sf)).filter("ticker = 'MKT'"))
+    n = pool.count()
+    return rounded(montecarlo.equity_confidence(montecarlo.paths(spark, pool, n, 1000, 5, 7), n, 100.0, 0.01))
+
+
+@query("m9_dip_buy_2000")
+def m9_whole(spark, sf):
+    return rounded(montecarlo.dip_buy(_whole_paths(spark, sf), 0.02, 0.03, 0.03))
+
+
 @query("v5_attribute_events")
 def v5(spark, sf):
     """V1 to V6 with the stories of N13 and N14."""
