@@ -1,4 +1,5 @@
-"""Plain-language readings of numbers as columns: struct(level, label, detail) by threshold ladders."""
+"""Plain-language readings of numbers as columns: struct(level, label, detail) by threshold ladders (N1 to N8, N10, N11,
+N13 to N15, N17 without MACD, and N21)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Block-bootstrap forecasts (M1 to M12): paths are rows, made and reduced in parallel.
+"""Block-bootstrap forecasts (M1 to M11): paths are rows, made and reduced in parallel.
 
 Block starts come from md5 of seed, path and block, so that results depend neither on partitions nor on the engine.
 The pool of returns is one array of bounded length (a ticker's history), broadcast with the paths' plan.
