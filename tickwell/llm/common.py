@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +15,10 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tickwell-")
-
-
 def scratch(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a temporary one only where none is named (tests)."""
+    """The folder shared by driver and executors: the one named in spark.checkpoint.dir, else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or "file://" + _own_folder()).rstrip("/")
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tickwell-scratch").rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -32,7 +26,43 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = weakref.ref(out), path
+    return out
+
+
+#: id of a materialised table -> itself and its folder.
+_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a materialised table that nothing will read again. Anything else is left alone."""
+    held, path = _WRITTEN.pop(id(table), (lambda: None, ""))
+    if held() is table:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Rounds:
+    """The tables of an iteration. The one before the last is deleted when the next has been written."""
+
+    def __init__(self, name: str):
+        self.name, self.last = name, None
+
+    def next(self, df: DataFrame) -> DataFrame:
+        before, self.last = self.last, materialise(df, self.name)
+        if before is not None:
+            discard(before)
+        return self.last
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, with as many underscores before it as make it differ from all columns (letter case doesn't count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def words(text: Column | str) -> Column:

@@ -4,20 +4,26 @@ Documents are sets of distinct 5-word shingles. Two small collections of `t` hal
 min-hashes) are computed; table (i, j) of the t*t hash tables is keyed by half keys u_i and v_j together, so
 2*t*width min-hashes serve t*t tables of 2*width rows each.
 
-Scale. Equal sets are one class from the start (grouped with map-side combine), so copies never meet in a
-table. A table bucket is searched by stars: one centre against its members, never member against member. The
-links found are merged into components, and only buckets that still hold several components are searched
-again, with the best connected member as the centre, as long as that merges much; then every remaining pair
-across components goes on if its whole min-hash rows agree in half of the places (a pair at 0.75 fails that
-with probability 2e-5). Nothing is capped: a bucket is done when all its members are in one component or every
-pair across its components has been looked at. Every link is confirmed on full shingle sets.
+Scale. Equal sets are one class from the start (grouped with map-side combine), so copies never meet in a table;
+a class is known by its set fingerprint, not by an id, so null and repeated ids are judged like all others. A
+bucket is searched by a star: its most central member (the one that shares most buckets with others) against the
+rest, never member against member. The links found are merged into components. Members of buckets that still hold
+several components are then searched exactly, without looking at buckets member by member: their shingles are
+ordered from rare to common, and a pair that can reach `similarity` must share one of its first few shingles; how
+few follows from both set sizes, so sizes are banded and each class files only what its own band and the other
+need. Text that a crowd of documents shares is common and so stands last, outside of that prefix. Only pairs
+across components are made. Pairs whose min-hash rows agree in fewer than half of the places are left out before
+texts are read (a pair at 0.75 fails that with probability 2e-5), and every link is confirmed on full shingle
+sets. Nothing is capped.
 
 Defined cases: null or blank text has an empty set, is linked with nothing and kept; fewer than five words are
-one shingle; repeated doc_id rows each come back; a null doc_id comes back unlinked with itself as component.
+one shingle; repeated doc_id rows each come back, with the component of their own text; a null doc_id takes the
+component of its text, which is null if no linked document has an id; columns other than id and text don't matter.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, slices, text_buffer, word_hashes
+from .common import Rounds, discard, materialise, mix, slices, text_buffer, word_hashes
 
 SHINGLE = 5
 _PLACE = mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -55,7 +61,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _signatures(t: int, width: int, seed: int):
-    """Arrow function: (doc_id, text) -> set size, set fingerprint and the two collections of half keys."""
+    """Arrow function: (doc_id, th, text) -> set size, set fingerprint and the two collections of half keys."""
     n_hashes = 2 * t * width
     draw = np.random.default_rng(seed)
     masks = draw.integers(0, 2**64, n_hashes, dtype=np.uint64)
@@ -63,7 +69,7 @@ def _signatures(t: int, width: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
+            data, offsets = text_buffer(batch.column(2))
             for a, b in slices(offsets, _CHUNK):
                 own = offsets[a : b + 1] - offsets[a]
                 shingles, at = shingle_sets(data[offsets[a] : offsets[b]], own)
@@ -86,8 +92,8 @@ def _signatures(t: int, width: int, seed: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * 2 * t, pa.int32()), pa.array(halves.ravel().view(np.int64)))
                 rowwise = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * n_hashes, pa.int32()), pa.array(marks.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, rows), pa.array(sizes), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), lists, rowwise],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "halves", "marks"],
+                    [batch.column(0).slice(a, rows), batch.column(1).slice(a, rows), pa.array(sizes), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), lists, rowwise],
+                    names=["doc_id", "th", "n_shingles", "set_a", "set_b", "halves", "marks"],
                 )
 
     return run
@@ -121,45 +127,62 @@ def _verified(threshold: int):
     return run
 
 
-def _matching_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the set fingerprint asked for (ids may be repeated with other texts)."""
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, text) -> the set of each row, as one array."""
     for batch in batches:
-        data, offsets = text_buffer(batch.column(2))
-        got = np.zeros(len(offsets) - 1, np.uint64)
+        data, offsets = text_buffer(batch.column(1))
         for a, b in slices(offsets, _CHUNK):
             sets, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            some = np.flatnonzero(np.diff(at))
-            if len(some):
-                got[a + some] = np.add.reduceat(mix(sets), at[some])
-        keep = got.view(np.int64) == batch.column(1).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["rep", "text"]).filter(pa.array(keep))
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sets.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["rep", "s"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """(vertex, component): the smallest vertex reachable over links (a, b). Rounds of neighbour minima and
-    pointer jumping; each round is a written table, and only the count of changes comes to the driver."""
+    pointer jumping; each round is a written table that replaces the one before, and only whether anything moved
+    comes to the driver."""
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct()
     edges = materialise(both, "edges")
-    labels = materialise(edges.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    rounds = Rounds("labels")
+    labels = rounds.next(edges.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = edges.join(labels.select(F.col("vertex").alias("b"), "component"), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "vertex").select("vertex", "component", F.least("component", "near").alias("low"))
         jump = labels.select(F.col("vertex").alias("low"), F.col("component").alias("lower"))
-        step = materialise(lower.join(jump, "low").select("vertex", F.least("low", "lower").alias("component"), (F.least("low", "lower") < F.col("component")).alias("moved")), "labels")
+        moved = F.least("low", "lower")
+        step = rounds.next(lower.join(jump, "low").select("vertex", moved.alias("component"), (moved < F.col("component")).alias("moved")))
         labels = step.select("vertex", "component")
         if step.filter("moved").isEmpty():
+            discard(edges)
             return labels
 
 
-def _across(open_: DataFrame, marks: DataFrame, agree: int) -> DataFrame:
-    """Pairs of one bucket and two components whose min-hash rows agree in `agree` places at least."""
-    rows = open_.select("key", "rep", "n", "component").join(marks, "rep")
-    x, y = rows.alias("x"), rows.alias("y")
-    alike = "size(filter(zip_with(x.marks, y.marks, (p, q) -> p = q), e -> e))"
-    met = x.join(y, F.expr(f"x.key = y.key AND x.component < y.component AND {alike} >= {agree}"))
-    return met.select(
-        F.expr("least(x.rep, y.rep)").alias("a"), F.expr("greatest(x.rep, y.rep)").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")
-    )
+def prefix_pairs(sets: DataFrame, similarity: int, growth: float = 1.05) -> DataFrame:
+    """(a, b) candidates across components from sets(rep, n, component, s): every pair of sets that reaches
+    `similarity` percent is among them.
+
+    Two sets of x and y shingles that do share at least c = ceil(similarity / (100 + similarity) * (x + y)), so in
+    any common order one of the first x - c + 1 of the one is among the first y - c + 1 of the other. The order is
+    by frequency, rarest first; a shingle in one set only is counted but never filed. Sizes are banded by `growth`,
+    and a set is filed once for each band that a partner may have, with the prefix that the band's smallest needs."""
+    share = similarity / (100 + similarity)
+    told = sets.select("rep", "n", "component", F.explode("s").alias("s"))
+    common = told.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = told.join(common, "s").groupBy("rep", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("c"))
+    step = math.log(growth)
+    band = lambda x: F.floor(F.log(x) / step + 1e-9).cast("int")
+    low, high = F.ceil(F.col("n") * similarity / 100), F.floor(F.col("n") * 100 / similarity)
+    bands = ranked.select("rep", "n", "component", "c", band(F.col("n")).alias("own"), low.alias("low"), F.explode(F.sequence(band(low), band(high))).alias("other"))
+    least = F.greatest(F.col("low"), F.floor(F.exp(F.col("other") * step) - 1e-6))
+    length = F.col("n") - F.ceil(share * (F.col("n") + least) - 1e-9) + 1
+    # shingles of this set alone come first in its order
+    take = F.greatest(F.lit(0), length - (F.col("n") - F.size("c"))).cast("int")
+    filed = bands.select("rep", "n", "component", "own", "other", F.explode(F.slice("c", F.lit(1), take)).alias("e")).select("rep", "n", "component", "own", "other", F.col("e.s").alias("s"))
+    x = filed.filter("own <= other").select("s", F.col("own").alias("p"), F.col("other").alias("q"), F.struct("rep", "n", "component").alias("x"))
+    y = filed.filter("own >= other").select("s", F.col("other").alias("p"), F.col("own").alias("q"), F.struct("rep", "n", "component").alias("y"))
+    fit = f"x.component <> y.component AND (p < q OR x.rep < y.rep) AND 100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n)"
+    met = x.join(y, ["s", "p", "q"]).filter(fit)
+    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -167,69 +190,56 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs. `similarity` is a percentage; a pair at 75 is
     found in one of the t*t tables with probability 0.992 by default, one at 0.8 with 0.998."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return classified(docs, id_col, text_col, similarity, t, width, seed).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 75, t: int = 10, width: int = 3, seed: int = 7) -> DataFrame:
+    """near_duplicates with th, the hash of the row's text, and kept_th, that of the text which stands for the row's
+    component: the one of its smallest id, the smallest hash where that id has several or none has an id."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     signed = materialise(
-        source.mapInArrow(_signatures(t, width, seed), "doc_id long, n_shingles long, set_a long, set_b long, halves array<long>, marks array<smallint>"), "signatures"
-    )
-    sets = ["set_a", "set_b", "n_shingles"]
-    classes = materialise(
-        signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"), F.first("marks").alias("marks")), "classes"
+        source.mapInArrow(_signatures(t, width, seed), "doc_id long, th long, n_shingles long, set_a long, set_b long, halves array<long>, marks array<smallint>"), "signatures"
     )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    classes = signed.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(first, F.first("halves").alias("halves"), F.first("marks").alias("marks"))
+    classes = materialise(classes.select(F.col("set_a").alias("rep"), "set_b", F.col("n_shingles").alias("n"), "first", "halves", "marks"), "classes")
     tables = F.expr(
         f"explode(flatten(transform(sequence(0, {t - 1}), i -> transform(sequence(0, {t - 1}), j -> xxhash64(i, j, halves[i], halves[{t} + j])))))"
     )
-    keyed = classes.select(tables.alias("key"), "rep", F.col("n_shingles").alias("n"))
+    keyed = classes.select(tables.alias("key"), "rep", "n")
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    buckets = materialise(keyed.join(shared.select("key"), "key"), "buckets")
-    wanted = buckets.select("rep").distinct().join(classes.select("rep", "set_a"), "rep")
-    texts = materialise(
-        source.join(wanted.hint("merge"), source.doc_id == wanted.rep).select("rep", "set_a", "text").mapInArrow(_matching_text, "rep long, text string").dropDuplicates(["rep"]),
-        "texts",
-    )
+    buckets = materialise(keyed.join(shared, "key"), "buckets")
+    met = materialise(buckets.groupBy("rep").agg(F.sum("members").alias("central")), "met")
+    wanted = classes.join(met, "rep").select("rep", "first.th")
+    texts = materialise(source.select("th", "text").join(wanted.hint("merge"), "th").select("rep", "text").dropDuplicates(["rep"]), "texts")
+    marks = classes.select("rep", "marks")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.filter(f"100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)").select("a", "b").distinct()
-        told = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(
+        """Links among distinct pairs (a, b): by agreeing min-hashes first, then on full sets."""
+        alike = f"size(filter(zip_with(x, y, (p, q) -> p = q), e -> e)) >= {t * width}"
+        near = pairs.join(marks.select(F.col("rep").alias("a"), F.col("marks").alias("x")), "a").join(marks.select(F.col("rep").alias("b"), F.col("marks").alias("y")), "b")
+        near = near.filter(alike).select("a", "b")
+        told = near.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(
             texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b"
         )
         return materialise(told.mapInArrow(_verified(similarity), "a long, b long"), "links")
 
-    def stars(members: DataFrame, centre: DataFrame) -> DataFrame:
-        met = members.join(centre, "key").filter("rep <> centre")
-        return met.select(F.col("rep").alias("a"), F.col("centre").alias("b"), F.col("n").alias("n_a"), F.col("centre_n").alias("n_b"))
-
-    first = buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.min_by("n", "rep").alias("centre_n"))
-    links = verify(stars(buckets, first))
-    used, before = first.select("key", "centre"), None
-    while True:
-        joined = components(links)
-        degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-        told = (
-            buckets.join(joined.withColumnRenamed("vertex", "rep"), "rep", "left")
-            .join(degrees, "rep", "left")
-            .select("key", "rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        )
-        parts = told.groupBy("key", "component").agg(F.count("*").alias("m"))
-        mixed = parts.groupBy("key").agg(F.expr("(sum(m) * sum(m) - sum(m * m)) / 2").alias("cross")).filter("cross > 0")
-        open_ = materialise(told.join(mixed, "key"), "open")
-        cross = open_.groupBy("key").agg(F.first("cross").alias("cross")).agg(F.sum("cross")).first()[0] or 0
-        if not cross:
-            break
-        if before is not None and cross > before / 2:
-            rest = verify(_across(open_, classes.select("rep", "marks"), 2 * t * width // 2))
-            links = links.union(rest)
-            joined = components(links)
-            break
-        before = cross
-        fresh = open_.join(used.withColumnRenamed("centre", "rep"), ["key", "rep"], "left_anti")
-        centre = fresh.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("low"), "n")).alias("best")).select(
-            "key", (-F.col("best.low")).alias("centre"), F.col("best.n").alias("centre_n")
-        )
-        centre = materialise(centre, "centres")
-        used = used.union(centre.select("key", "centre"))
-        links = links.union(verify(stars(open_, centre)))
-
-    labels = classes.select(*sets, "rep").join(joined.withColumnRenamed("vertex", "rep"), "rep", "left").select(*sets, F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", *sets).join(labels, sets, "left")
-    component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    members = buckets.join(met, "rep")
+    centre = members.groupBy("key").agg(F.max(F.struct("central", "rep", "n")).alias("c")).select("key", F.col("c.rep").alias("b"), F.col("c.n").alias("m"))
+    stars = buckets.select("key", F.col("rep").alias("a"), "n").join(centre, "key").filter("a <> b")
+    links = verify(stars.filter(f"100 * least(n, m) >= {similarity} * greatest(n, m)").select("a", "b").distinct())
+    joined = components(links).withColumnRenamed("vertex", "rep")
+    told = buckets.join(joined, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    open_ = materialise(told.join(mixed.select("key"), "key").select("rep", "component").distinct(), "open")
+    sets = texts.join(open_.select("rep"), "rep").mapInArrow(_shingles, "rep long, s array<long>").join(open_, "rep").withColumn("n", F.size("s"))
+    links = links.union(verify(prefix_pairs(materialise(sets, "sets"), similarity)))
+    joined = components(links).withColumnRenamed("vertex", "rep")
+
+    known = materialise(classes.select("rep", "set_b", "first").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "known")
+    least = known.groupBy("component").agg(F.min("first").alias("least"))
+    labels = known.join(least, "component").select(F.col("rep").alias("set_a"), "set_b", "least")
+    out = signed.select("doc_id", "th", "n_shingles", "set_a", "set_b").join(labels, ["set_a", "set_b"], "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "th", F.when(F.col("n_shingles") > 0, F.col("least.th")).alias("kept_th"))
+    return out.withColumn("kept", F.expr("doc_id <=> component_id"))
