@@ -177,10 +177,13 @@ def prefix_pairs(sets: DataFrame, similarity: int, growth: float = 1.05) -> Data
     length = F.col("n") - F.ceil(share * (F.col("n") + least) - 1e-9) + 1
     # shingles of this set alone come first in its order
     take = F.greatest(F.lit(0), length - (F.col("n") - F.size("c"))).cast("int")
-    filed = bands.select("rep", "n", "component", "own", "other", F.explode(F.slice("c", F.lit(1), take)).alias("e")).select("rep", "n", "component", "own", "other", F.col("e.s").alias("s"))
-    x = filed.filter("own <= other").select("s", F.col("own").alias("p"), F.col("other").alias("q"), F.struct("rep", "n", "component").alias("x"))
-    y = filed.filter("own >= other").select("s", F.col("other").alias("p"), F.col("own").alias("q"), F.struct("rep", "n", "component").alias("y"))
-    fit = f"x.component <> y.component AND (p < q OR x.rep < y.rep) AND 100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n)"
+    filed = bands.select("rep", "n", "component", "own", "other", (F.col("n") - F.size("c")).alias("alone"), F.posexplode(F.slice("c", F.lit(1), take)).alias("at", "e"))
+    # rest: shingles from this one on, which is what the pair can share if it is their first one in common
+    filed = filed.select("own", "other", F.col("e.s").alias("s"), F.struct("rep", "n", "component", (F.col("n") - F.col("alone") - F.col("at")).alias("rest")).alias("x"))
+    x = filed.filter("own <= other").select("s", F.col("own").alias("p"), F.col("other").alias("q"), "x")
+    y = filed.filter("own >= other").select("s", F.col("other").alias("p"), F.col("own").alias("q"), F.col("x").alias("y"))
+    fit = "x.component <> y.component AND (p < q OR x.rep < y.rep)"
+    fit += f" AND {100 + similarity} * least(x.rest, y.rest) >= {similarity} * (x.n + y.n)"
     met = x.join(y, ["s", "p", "q"]).filter(fit)
     return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
@@ -216,9 +219,10 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Links among distinct pairs (a, b): by agreeing min-hashes first, then on full sets."""
-        alike = f"size(filter(zip_with(x, y, (p, q) -> p = q), e -> e)) >= {t * width}"
-        near = pairs.join(marks.select(F.col("rep").alias("a"), F.col("marks").alias("x")), "a").join(marks.select(F.col("rep").alias("b"), F.col("marks").alias("y")), "b")
-        near = near.filter(alike).select("a", "b")
+        alike = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda e: e)) >= t * width
+        near = pairs.join(marks.select(F.col("rep").alias("a"), F.col("marks").alias("x")), "a")
+        other = marks.select(F.col("rep").alias("rep_b"), F.col("marks").alias("y"))
+        near = near.join(other, (F.col("b") == F.col("rep_b")) & alike).select("a", "b")
         told = near.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(
             texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b"
         )
