@@ -3,16 +3,17 @@
 For each language a context tree of up to `order` bytes is learnt from labelled text. An unseen byte escapes to
 the next shorter context; escape probabilities follow method C (distinct continuations against their count plus
 distinct ones), and below the empty context all 256 bytes are equally likely. With frozen statistics the code
-length of a byte depends on its last `order` bytes alone, so the trees are laid out as tables and scoring a text
-is a sum of look-ups.
+length of a byte depends on its last `order` bytes alone, so a text is a bag of sequences of order + 1 bytes: each
+distinct one of a slice of texts is looked up once in each language's tree.
 
-Training reads at most about `sample` documents of each language (drawn by a hash of their ids, whole texts). The
-classifier is fitted on the `sequences` most frequent (language, sequence of order + 1 bytes) counts of that sample
-and keeps the `contexts` most frequent contexts of the longest order; these bound the model that goes to the tasks.
+Training reads at most about `sample` documents of each language (drawn by a hash of their ids, whole texts) and
+keeps every language and every sequence of those. A tree is sparse: only the contexts and continuations that were
+seen, as sorted arrays; Spark counts them. So the model grows with the sampled text, never with the alphabet.
 
 Results: the language with the shortest code; its score is the posterior 1 / sum(2**(L_best - L_i)) under equal
 priors. Null text, text without any letter, and every text where nothing could be learnt give `und` with score 0.
-Ties go to the language first in code-point order. Rows are never dropped; repeated rows each come back.
+Ties go to the language first in code-point order. Rows are never dropped; repeated rows each come back. Columns
+of docs that clash with the result's names are the caller's to rename: `lang_as` and `score_as` name the new ones.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer
+from .common import fresh, slices, text_buffer
 
 ORDER = 3
 
@@ -69,104 +70,99 @@ def _real(padded, offsets, a, b):
     return mask
 
 
+class Tree:
+    """One language's context tree as code lengths in bits. Sequences and contexts are little numbers with the last
+    byte lowest: `long` and `middle` are the sequences of 4 and 3 bytes that were seen, `escape` what leaving a
+    context costs, and `short` has every sequence of 2 bytes, whose escapes are worked in."""
+
+    def __init__(self, gram: np.ndarray, count: np.ndarray):
+        self.long, self.long_bits, self.context, self.escape = self._order(gram.astype(np.uint32), count)
+        self.middle, self.middle_bits, at, cost = self._order(gram.astype(np.uint32) & np.uint32(0xFFFFFF), count)
+        self.middle_escape = np.zeros(1 << 16, np.float32)
+        self.middle_escape[at] = cost
+        one, one_bits, _, cost = self._order(gram.astype(np.uint32) & np.uint32(0xFF), count)
+        base = np.full(256, 8.0) + cost[0]
+        base[one] = one_bits
+        two, two_bits, at, cost = self._order(gram.astype(np.uint32) & np.uint32(0xFFFF), count)
+        self.short = np.tile(base, (256, 1))
+        self.short[at] += cost[:, None]
+        self.short = self.short.ravel().astype(np.float32)
+        self.short[two] = two_bits
+
+    @staticmethod
+    def _order(gram: np.ndarray, count: np.ndarray):
+        """Distinct sequences with their bits, and distinct contexts with the bits of an escape."""
+        found, back = np.unique(gram, return_inverse=True)
+        n = np.bincount(back, count)
+        context, first = np.unique(found >> np.uint32(8), return_index=True)
+        total, kinds = np.add.reduceat(n, first), np.diff(np.append(first, len(found)))
+        own = np.repeat(total + kinds, kinds)
+        return found, -np.log2(n / own).astype(np.float32), context, -np.log2(kinds / (total + kinds)).astype(np.float32)
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each sequence after the three before it."""
+        three = gram & np.uint32(0xFFFFFF)
+        out = self.short[gram & np.uint32(0xFFFF)] + self.middle_escape[three >> np.uint32(8)]
+        at, seen = _find(self.middle, three)
+        out[seen] = self.middle_bits[at[seen]]
+        at, seen = _find(self.context, gram >> np.uint32(8))
+        out[seen] += self.escape[at[seen]]
+        at, seen = _find(self.long, gram)
+        out[seen] = self.long_bits[at[seen]]
+        return out
+
+
+def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
+
+
 class Model:
-    """Code lengths in bits: `long[context3, byte, lang]` where the context is known, else `short[c2, c1, byte, lang]`."""
-
-    def __init__(self, counts: list[tuple[str, int, int]], contexts: int):
-        self.langs = sorted({x[0] for x in counts})
-        n = len(self.langs)
-        of = {x: i for i, x in enumerate(self.langs)}
-        lang = np.array([of[x[0]] for x in counts], np.int64)
-        gram = np.array([x[1] for x in counts], np.int64)
-        count = np.array([x[2] for x in counts], np.float64)
-        seen = np.unique(np.append(gram & 255, 0))  # the zero bytes before a text are a byte of their own
-        self.code = np.zeros(256, np.int64)
-        self.code[seen] = np.arange(1, len(seen) + 1)
-        size = self.size = len(seen) + 1
-        symbols = [self.code[(gram >> (8 * k)) & 255] for k in range(ORDER + 1)]
-        base = np.full((1, size, n), 8.0)
-        for k in range(ORDER):
-            own = np.zeros(size ** (k + 1) * n)
-            index = np.zeros(len(gram), np.int64)
-            for j in range(k, -1, -1):
-                index = index * size + symbols[j]
-            np.add.at(own, index * n + lang, count)
-            base = self._escape(own.reshape(-1, size, n), base, k)
-        self.short = base.astype(np.float32)
-        context = (symbols[3] * size + symbols[2]) * size + symbols[1]
-        every, back = np.unique(context, return_inverse=True)
-        weight = np.bincount(back, count)
-        kept = np.sort(every[np.argsort(-weight, kind="stable")[:contexts]])
-        self.context = np.zeros(size**3, np.int32)
-        self.context[kept] = np.arange(1, len(kept) + 1)
-        known = self.context[context]
-        own = np.zeros((len(kept) + 1) * size * n)
-        inside = known > 0
-        np.add.at(own, (known[inside].astype(np.int64) * size + symbols[0][inside]) * n + lang[inside], count[inside])
-        backing = np.concatenate(([0], kept % (size * size)))
-        self.long = self._escape(own.reshape(-1, size, n), self.short[backing].astype(np.float64), None).astype(np.float32)
-
-    def _escape(self, own: np.ndarray, shorter: np.ndarray, k: int | None) -> np.ndarray:
-        """Code lengths of one order from its counts [context, symbol, lang] and those one order shorter."""
-        if k:
-            shorter = np.tile(shorter, (self.size, 1, 1))
-        own[:, 0, :] = 0
-        total, kinds = own.sum(1, keepdims=True), (own > 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = -np.log2(own / (total + kinds))
-            unseen = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0) + shorter
-        return np.where(own > 0, seen, unseen)
+    """The trees of all languages, in code-point order of their names."""
+
+    def __init__(self, trees: dict[str, Tree]):
+        self.langs = sorted(trees)
+        self.trees = [trees[x] for x in self.langs]
 
     def lengths(self, padded: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bits of each row (starts are where the rows' own bytes begin) in each language."""
-        n = len(self.langs)
-        if len(padded) <= ORDER:
-            return np.zeros((len(starts), n))
-        x = self.code[padded].astype(np.int64)
-        two = x[1:-2] * self.size + x[2:-1]
-        context = self.context[x[:-3] * self.size * self.size + two]
-        symbol = x[3:]
-        out = np.zeros((len(starts), n))
-        known = context > 0
-        at_long = context.astype(np.int64) * self.size + symbol
-        at_short = two * self.size + symbol
-        # the places of the zero bytes before a row belong to the row before it, so they are set to no cost
-        quiet = np.zeros(len(padded), bool)
+        out = np.zeros((len(starts), len(self.langs)))
+        sizes = np.diff(np.append(starts, len(padded) + ORDER)) - ORDER
+        some = np.flatnonzero(sizes)
+        if not len(some):
+            return out
+        gram, own = _codes(padded), np.ones(len(padded), bool)
         for k in range(1, ORDER + 1):
-            quiet[starts - k] = True
-        quiet = quiet[ORDER:]
-        long, short = self.long.reshape(-1, n), self.short.reshape(-1, n)
-        cuts = np.maximum(starts - ORDER, 0)
-        ends = np.concatenate((cuts[1:], [len(symbol)]))
-        for i in range(n):
-            bits = np.where(known, long[at_long, i], short[at_short, i]).astype(np.float64)
-            bits[quiet] = 0
-            run = np.concatenate(([0.0], np.cumsum(bits)))
-            out[:, i] = run[ends] - run[cuts]
+            own[starts - k] = False
+        found, back = np.unique(gram[own], return_inverse=True)
+        cuts = np.concatenate(([0], np.cumsum(sizes)[:-1]))[some]
+        for i, tree in enumerate(self.trees):
+            out[some, i] = np.add.reduceat(tree.bits(found)[back], cuts, dtype=np.float64)
         return out
 
 
-def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = 1500, contexts: int = 40_000, languages: int = 64, sequences: int = 400_000) -> Model | None:
-    """Model from rows where `learnable` holds and lang is not null: about `sample` documents of each of the
-    `languages` most frequent languages. None if there are no such rows."""
+def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = 1500) -> Model | None:
+    """Model from rows where `learnable` holds and lang is not null: about `sample` documents of every language.
+    None if there are no such rows."""
     rows = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    known = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not known:
-        return None
-    share = F.create_map(*[F.lit(x) for r in known for x in (r["lang"], sample / r["count"])])
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000
-    counts = rows.filter(drawn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(grams, "lang string, gram long, n long")
-    most = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(sequences)
-    found = [(r["lang"], r["gram"], r["n"]) for r in most.collect()]
-    return Model(found, contexts) if found else None
-
-
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns `keep` (all by default) with lang_pred and score."""
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)).alias("spot"))
+    share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+    drawn = rows.join(F.broadcast(share), "lang").filter("spot < share * 1000000").select("lang", "text")
+    counts = drawn.mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = counts.groupBy("lang").agg(F.collect_list("gram").alias("gram"), F.collect_list("n").alias("n")).toArrow()
+    trees = {}
+    for row in range(found.num_rows):
+        gram, n = (found[name].chunk(0) if found[name].num_chunks == 1 else found[name].combine_chunks() for name in ("gram", "n"))
+        trees[found["lang"][row].as_py()] = Tree(gram[row].values.to_numpy(zero_copy_only=False), n[row].values.to_numpy(zero_copy_only=False).astype(np.float64))
+    return Model(trees) if trees else None
+
+
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
+    """docs' columns `keep` (all by default) with the predicted language and its score."""
     keep = docs.columns if keep is None else keep
-    letters = docs.select(*keep, F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    letters = docs.select(*keep, F.col(text_col).alias(fresh(keep, "_text")), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(fresh(keep, "_letters")))
     if model is None:
-        return letters.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return letters.select(*keep, F.lit("und").alias(lang_as), F.lit(0.0).alias(score_as))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +179,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                 score[a:b] = 1 / np.exp2(np.maximum(low - bits, -1000.0)).sum(1)
             best[~letters], score[~letters] = len(own.langs), 0.0
             columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*keep, lang_as, score_as])
 
-    kept = letters.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    kept = letters.select(*keep).schema.add(lang_as, "string").add(score_as, "double")
     return letters.mapInArrow(run, kept)
 
 
