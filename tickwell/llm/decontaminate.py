@@ -16,7 +16,8 @@ any other the largest weight, must reach `similarity`.
 The benchmark's shingles are broadcast up to `broadcast_shingles` rows and joined by a shuffle beyond that. Hits
 stay spread by document; a passage that many documents share adds rows in proportion to those documents.
 
-Defined cases: null and blank texts match nothing; an empty benchmark or empty table gives an empty result;
+Defined cases: texts are judged by themselves, so null and repeated ids make no difference, and a document without
+an id has its rows under a null doc_id; columns other than id and text don't matter; null and blank texts match nothing; an empty benchmark or empty table gives an empty result;
 repeated rows count once; documents shorter than an item are compared whole.
 """
 
@@ -27,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, words
+from .common import fresh, materialise, words
 
 SHINGLE = 5
 SCHEMA = "doc_id long, item_id long, start int, n_words int, similarity double, hamming int"
@@ -71,6 +72,14 @@ def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, radius: int = 15, broadcast_shingles: int = 1_000_000
 ) -> DataFrame:
     """SCHEMA rows: for each document and item, the most similar window that reaches `similarity`."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th")).distinct()
+    found = own.join(leaking_texts(docs, benchmark, text_col, similarity, radius, broadcast_shingles), "th")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words", (-F.col("hamming")).alias("d"))).alias("b"))
+    return best.select("doc_id", "item_id", (-F.col("b.s")).cast("int").alias("start"), "b.n_words", "b.similarity", (-F.col("b.d")).cast("int").alias("hamming"))
+
+
+def leaking_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", similarity: float = 0.75, radius: int = 15, broadcast_shingles: int = 1_000_000) -> DataFrame:
+    """SCHEMA rows by th, the text's hash, in place of doc_id: equal texts are searched once, and ids don't matter."""
     spark = docs.sparkSession
     n_words = F.size(words(F.lower(F.col("text"))))
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates().withColumn("n", n_words).filter("n > 0")
@@ -78,7 +87,7 @@ def find_leaks(
     items = materialise(items.withColumn("k", F.size("h")).withColumn("fp", simhash("h")).withColumn("no", F.xxhash64("item_id", "h")), "items")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())
     if not widths:
-        return spark.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], SCHEMA.replace("doc_id", "th"))
     n_items = items.count()
     places = items.select("no", "width", "k", F.posexplode("h").alias("place", "s"))
     rarity = places.groupBy("s").agg(F.log(1 + n_items / F.count_distinct("no")).alias("weight"))
@@ -96,25 +105,24 @@ def find_leaks(
         places.join(rare, ["no", "s"], "left").groupBy("width", "s", "k", F.col("place").alias("item_place")).agg(F.collect_set("rare").alias("nos")), "vocabularies"
     )
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    source = source.withColumn("th", F.xxhash64("text"))
+    source = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL").withColumn("th", F.xxhash64("text"))
     windows: DataFrame | None = None
     for width in widths:
         vocabulary = vocabularies.filter(F.col("width") == width).drop("width")
-        hits = _with_shingles(source, F.col("text"), width).select("doc_id", "th", F.size("h").alias("m"), F.posexplode("h").alias("place", "s"))
+        hits = _with_shingles(source, F.col("text"), width).select("th", F.size("h").alias("m"), F.posexplode("h").alias("place", "s"))
         hits = hits.join(F.broadcast(vocabulary) if small else vocabulary, "s")
         start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("item_place"), F.col("m") - F.col("k")))
-        laid = hits.select("doc_id", "th", F.lit(width).alias("width"), "k", start.alias("start"), F.explode_outer("nos").alias("no")).distinct()
+        laid = hits.select("th", F.lit(width).alias("width"), "k", start.alias("start"), F.explode_outer("nos").alias("no")).distinct()
         windows = laid if windows is None else windows.union(laid)
     windows = materialise(windows, "windows")
-    shared = windows.filter("no IS NOT NULL").select("doc_id", "th", "k", "width", "no").distinct()
-    held = windows.groupBy("doc_id", "th").agg(F.collect_set(F.struct("width", "k", "start")).alias("at"))
+    shared = windows.filter("no IS NOT NULL").select("th", "k", "width", "no").distinct()
+    held = windows.groupBy("th").agg(F.collect_set(F.struct("width", "k", "start")).alias("at"))
     # always a shuffle join: windows may outgrow a broadcast, and the cost should not jump when they do
-    texts = source.join(held.hint("merge"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    texts = source.join(held.hint("merge"), ["th"]).dropDuplicates(["th"])
     cut = None
     for width in widths:
-        part = _with_shingles(texts, F.col("text"), width).select("doc_id", "th", "h", F.explode(F.expr(f"filter(at, a -> a.width = {width})")).alias("a"))
-        part = part.select("doc_id", "th", "a.width", "a.k", "a.start", F.slice("h", F.col("a.start") + 1, F.col("a.k")).alias("win"))
+        part = _with_shingles(texts, F.col("text"), width).select("th", "h", F.explode(F.expr(f"filter(at, a -> a.width = {width})")).alias("a"))
+        part = part.select("th", "a.width", "a.k", "a.start", F.slice("h", F.col("a.start") + 1, F.col("a.k")).alias("win"))
         cut = part if cut is None else cut.union(part)
     cut = materialise(cut.withColumn("fp", simhash("win")), "cut")
 
@@ -124,24 +132,24 @@ def find_leaks(
     near = F.lit([m for m in range(1 << 16) if m.bit_count() <= radius // 4])
     filed = told.select("no", "k", "width", F.col("fp").alias("item_fp"), F.explode(blocks("fp")).alias("b"))
     filed = filed.select("no", "k", "width", "item_fp", "b.j", "b.v", F.explode(near).alias("m")).select("no", "k", "width", "item_fp", "j", F.expr("v ^ m").alias("v"))
-    asked = cut.select("doc_id", "th", "start", "k", "width", "fp", F.explode(blocks("fp")).alias("b")).select("doc_id", "th", "start", "k", "width", "fp", "b.j", "b.v")
+    asked = cut.select("th", "start", "k", "width", "fp", F.explode(blocks("fp")).alias("b")).select("th", "start", "k", "width", "fp", "b.j", "b.v")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     pairs = asked.join(filed, ["k", "width", "j", "v"]).withColumn("hamming", distance).filter(F.col("hamming") <= radius)
-    pairs = pairs.select("doc_id", "th", "start", "k", "width", "no", "hamming")
-    beyond = shared.join(cut.drop("win"), ["doc_id", "th", "k", "width"]).join(told.select("no", F.col("fp").alias("item_fp")), "no").withColumn("hamming", distance)
+    pairs = pairs.select("th", "start", "k", "width", "no", "hamming")
+    beyond = shared.join(cut.drop("win"), ["th", "k", "width"]).join(told.select("no", F.col("fp").alias("item_fp")), "no").withColumn("hamming", distance)
     pairs = pairs.union(beyond.select(*pairs.columns)).distinct()
-    full = pairs.join(cut.drop("fp"), ["doc_id", "th", "start", "k", "width"]).join(told.select("no", "item_id", "n", "bag"), "no")
+    full = pairs.join(cut.drop("fp"), ["th", "start", "k", "width"]).join(told.select("no", "item_id", "n", "bag"), "no")
     both = F.expr("aggregate(bag, 0D, (a, e) -> a + e.weight * least(e.tf, size(filter(win, x -> x = e.s))))")
     item = F.expr("aggregate(bag, 0D, (a, e) -> a + e.weight * e.tf)")
     known = F.expr("aggregate(bag, 0D, (a, e) -> a + e.weight * size(filter(win, x -> x = e.s)))")
     foreign = F.expr("size(filter(win, x -> NOT exists(bag, e -> e.s = x)))") * largest
     scored = full.withColumn("both", both).withColumn("similarity", F.col("both") / (item + known + foreign - F.col("both")))
     good = scored.filter(F.col("similarity") >= similarity)
-    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.col("n"), (-F.col("hamming")).alias("d"))).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.s")).cast("int").alias("start"), F.col("b.n").cast("int").alias("n_words"), F.col("b.similarity").alias("similarity"), (-F.col("b.d")).cast("int").alias("hamming"))
+    best = good.groupBy("th", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.col("n"), (-F.col("hamming")).alias("d"))).alias("b"))
+    return best.select("th", "item_id", (-F.col("b.s")).cast("int").alias("start"), F.col("b.n").cast("int").alias("n_words"), F.col("b.similarity").alias("similarity"), (-F.col("b.d")).cast("int").alias("hamming"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a benchmark passage."""
-    leaks = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("_leak"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs without the documents whose text holds a benchmark passage."""
+    leaks = leaking_texts(docs, benchmark, text_col, **options).select(F.col("th").alias(_own := fresh(docs.columns, "_leak"))).distinct()
+    return docs.join(leaks, F.xxhash64(docs[text_col]) == F.col(_own), "left_anti")

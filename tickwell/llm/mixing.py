@@ -17,7 +17,8 @@ at most cap times its own, the rest going to the others by weight. That is the w
 sum(min(cap * size_s, weight_s * t)) = total, found from the sources sorted by cap * size / weight.
 
 Defined cases: null text has size 0; documents of size 0 take nothing; a source of size 0 has target 0; rows with
-repeated ids are documents of their own; an empty table gives an empty result.
+repeated ids are documents of their own; an empty table gives an empty result; kept columns may have any names
+(`prefix` tells them from the result's).
 """
 
 from __future__ import annotations
@@ -110,10 +111,10 @@ def class_copies(rated: DataFrame, cap: int, largest: int, smallest: int) -> Dat
     return both.select("s", "size", "docs", F.coalesce("settled", "copies").alias("copies"))
 
 
-def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", cap: int = 3, weights: tuple = WEIGHTS, largest: int = 64, smallest: int = 64, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (all by default) with size, source_size, target, copies and taken."""
+def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", cap: int = 3, weights: tuple = WEIGHTS, largest: int = 64, smallest: int = 64, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """Columns `keep` (all by default) with size, source_size, target, copies and taken, whose names start with `prefix`."""
     keep = docs.columns if keep is None else keep
-    sized = docs.select(*[F.col(c) for c in keep], F.col(source_col).alias("_source"), size_of(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_spot"), F.col(id_col).alias("_id"))
+    sized = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_keep"), F.col(source_col).alias("_source"), size_of(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_spot"), F.col(id_col).alias("_id"))
     if set(keep) <= {id_col}:
         sized = materialise(sized, "sizes")  # the texts are read once only
     counted = sized.groupBy("_source", "size").agg(F.count("*").alias("docs"))
@@ -143,4 +144,5 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     out = own.withColumn("copies_", F.when(F.col("size") > 0, F.least(taken, F.lit(cap))).otherwise(0).cast("long"))
     totals = told.select(F.col("s").alias("t"), F.col("source_size").alias("source_size_"), F.col("target").alias("target_"))
     out = out.join(totals, F.col("_source").eqNullSafe(F.col("t")), "left")
-    return out.select(*keep, "size", F.col("source_size_").alias("source_size"), F.col("target_").alias("target"), F.col("copies_").alias("copies"), (F.col("copies_") * F.col("size")).alias("taken"))
+    told_columns = {"size": F.col("size"), "source_size": F.col("source_size_"), "target": F.col("target_"), "copies": F.col("copies_"), "taken": F.col("copies_") * F.col("size")}
+    return out.select("_keep.*", *[c.alias(prefix + name) for name, c in told_columns.items()])
