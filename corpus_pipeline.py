@@ -12,20 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwell.llm import decontaminate, language_id, mixing, near_dedup, queries, token_output
-from tickwell.llm.common import materialise
+from tickwell.llm.common import WORD, fresh, materialise
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.learn(docs, F.lit(True))
-    told = language_id.identify(docs, model)
-    return told.filter("lang_pred <> 'und' AND score >= 0.5").select(*docs.columns)
+    lang, score = fresh(docs.columns, "_lang"), fresh(docs.columns, "_score")
+    told = language_id.identify(docs, model, lang_as=lang, score_as=score)
+    return told.filter((F.col(lang) != "und") & (F.col(score) >= 0.5)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; documents without words are groups of their own, repeated rows are one document."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return known.union(docs.filter("doc_id IS NULL"))
+    """One document of each group: the one of its smallest id, whatever rows repeat it. Documents without words are
+    groups of their own."""
+    told = near_dedup.classified(docs).filter("doc_id <=> component_id AND th = kept_th").select("doc_id", "th").distinct()
+    key, text_hash = fresh(docs.columns, "_key"), fresh(docs.columns, "_hash")
+    own = docs.withColumn(text_hash, F.xxhash64("text"))
+    told = told.select(F.col("doc_id").alias(key), F.col("th").alias(key + "_th"))
+    kept = own.join(told, (F.col(text_hash) == F.col(key + "_th")) & F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
+    order = F.struct(*[c for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double", "boolean", "float", "date", "timestamp")])
+    one = kept.groupBy("doc_id", text_hash).agg(F.min_by(F.struct(*docs.columns), order).alias(key)).select(f"{key}.*")
+    wordless = F.coalesce(~F.col("text").rlike(WORD), F.lit(True))
+    return one.union(docs.filter(wordless))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +41,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs)
-    copies = F.explode(F.expr("array_repeat(0, CAST(copies AS int))"))
-    return mixed.filter("copies > 0").select(*docs.columns, copies.alias("_copy")).drop("_copy")
+    prefix = "_mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    mixed = mixing.mix(docs, prefix=prefix)
+    copies = F.explode(F.expr(f"array_repeat(0, CAST({prefix}copies AS int))"))
+    return mixed.filter(f"{prefix}copies > 0").select(*docs.columns, copies.alias(prefix)).drop(prefix)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
