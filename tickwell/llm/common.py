@@ -21,11 +21,20 @@ def scratch(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tickwell-scratch").rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there and survives lost executors."""
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def materialise(df: DataFrame, name: str, batch: str = "4m") -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends there and survives lost executors.
+    While it is written, Arrow batches hold at most `batch` bytes, so that workers stay small beside the executor."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, batch)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[id(out)] = weakref.ref(out), path
     return out
@@ -65,6 +74,11 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def trim() -> None:
+    """Give memory that Arrow keeps back to the machine, at the end of a task in a worker that stays."""
+    pa.default_memory_pool().release_unused()
+
+
 def words(text: Column | str) -> Column:
     """Array of the words of a text column, empty for null or blank text."""
     text = F.col(text) if isinstance(text, str) else text

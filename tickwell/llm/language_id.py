@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, text_buffer
+from .common import fresh, slices, text_buffer, trim
 
 ORDER = 3
 
@@ -180,6 +180,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             best[~letters], score[~letters] = len(own.langs), 0.0
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*keep, lang_as, score_as])
+        trim()
 
     kept = letters.select(*keep).schema.add(lang_as, "string").add(score_as, "double")
     return letters.mapInArrow(run, kept)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rounds, discard, materialise, mix, slices, text_buffer, word_hashes
+from .common import Rounds, discard, materialise, mix, slices, text_buffer, trim, word_hashes
 
 SHINGLE = 5
 _PLACE = mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -95,6 +95,7 @@ def _signatures(t: int, width: int, seed: int):
                     [batch.column(0).slice(a, rows), batch.column(1).slice(a, rows), pa.array(sizes), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), lists, rowwise],
                     names=["doc_id", "th", "n_shingles", "set_a", "set_b", "halves", "marks"],
                 )
+        trim()
 
     return run
 
@@ -123,6 +124,7 @@ def _verified(threshold: int):
                     both = int(np.count_nonzero(y[spot] == x))
                     keep[row] = 100 * both >= threshold * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a_ids[keep], pa.int64()), pa.array(b_ids[keep], pa.int64())], names=["a", "b"])
+        trim()
 
     return run
 
