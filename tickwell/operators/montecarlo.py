@@ -1,4 +1,4 @@
-"""Block-bootstrap forecasts (M1 to M11): paths are rows, made and reduced in parallel.
+"""Block-bootstrap forecasts (M1 to M12): paths are rows, made and reduced in parallel.
 
 Block starts come from md5 of seed, path and block, so that results depend neither on partitions nor on the engine.
 The pool of returns is one array of bounded length (a ticker's history), broadcast with the paths' plan.
@@ -118,3 +118,21 @@ def business_days(start: Column, n: int) -> Column:
     """The n weekdays after a date."""
     days = F.sequence(F.date_add(start, 1), F.date_add(start, 2 * n + 7))
     return F.slice(F.filter(days, lambda d: F.weekday(d) < 5), 1, n)
+
+
+def busday_count(start: Column, end: Column) -> Column:
+    """Weekdays from start on and before end; null where end is."""
+    days = F.sequence(start, F.date_sub(end, 1))
+    return F.when(end > start, F.size(F.filter(days, lambda d: F.weekday(d) < 5))).when(end.isNotNull(), 0)
+
+
+def limit_order(p: DataFrame, last: float) -> DataFrame:
+    """The price that half of the paths reach, the share of paths that get there, and when."""
+    best = best_entry(p)
+    reached = lows_from_start(p).join(F.broadcast(best.select("median_low"))).agg(F.avg((F.col("low") <= F.col("median_low")).cast("double")).alias("fill_prob"))
+    return best.join(F.broadcast(reached)).select((F.col("median_low") * last).alias("limit_price"), "fill_prob", "median_day", "p75_day")
+
+
+def lows_from_start(p: DataFrame) -> DataFrame:
+    """(path, low): the lowest growth of each path, day 0 included."""
+    return p.groupBy("path").agg(F.min("growth").alias("low"))

@@ -83,6 +83,22 @@ def black_litterman(cov: np.ndarray, prior: np.ndarray, views: np.ndarray, tau:
     return np.linalg.pinv(a + b) @ (a @ prior + b @ views)
 
 
+def posterior(mu: DataFrame, cov: DataFrame, delta: float, tau: float = 0.05, confidence: float = 1.0) -> DataFrame:
+    """(ticker, mu) of Black and Litterman, from the prior that equal weights imply and views (ticker, mu); a ticker
+    without a view keeps its prior. The k x k table of one universe is one group."""
+    n = F.count("*").over(Window.partitionBy("ticker"))
+    prior = cov.withColumn("weight", 1.0 / n).groupBy("ticker").agg((delta * F.sum(F.col("cov") * F.col("weight"))).alias("prior"))
+    table = cov.join(prior, "ticker").join(mu, "ticker", "left").select("ticker", "other", "cov", "prior", F.coalesce("mu", "prior").alias("view"), F.lit(1).alias("universe"))
+
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(d["ticker"].unique())
+        s = d.pivot(index="ticker", columns="other", values="cov").loc[names, names].to_numpy()
+        own = d.drop_duplicates("ticker").set_index("ticker").loc[names]
+        return pd.DataFrame({"ticker": names, "mu": black_litterman(s, own["prior"].to_numpy(), own["view"].to_numpy(), tau, confidence)})
+
+    return table.groupBy("universe").applyInPandas(run, "ticker string, mu double")
+
+
 def portfolio_stats(weights: DataFrame, mu: DataFrame, cov: DataFrame, rf: float = 0.0) -> DataFrame:
     """Return, volatility and Sharpe ratio of (ticker, weight)."""
     other = weights.select(F.col("ticker").alias("other"), F.col("weight").alias("v"))
@@ -94,7 +110,7 @@ def portfolio_stats(weights: DataFrame, mu: DataFrame, cov: DataFrame, rf: float
 def dollars(weights: DataFrame, capital: float = 100.0, least: float = 1.0) -> DataFrame:
     """Money by weight; below `least` goes and the rest is scaled up."""
     first = weights.withColumn("d", F.bround(F.col("weight") * capital, 2)).filter(F.col("d") >= least)
-    return first.withColumn("dollars", F.bround(F.col("d") / F.sum("d").over(Window.partitionBy()) * capital, 2)).select("ticker", "dollars")
+    return first.withColumn("dollars", F.bround(F.col("d") / F.sum("d").over(Window.partitionBy()) * capital, 2)).select("ticker", "dollars").orderBy(F.desc("dollars"), "ticker")
 
 
 def solve(mu: DataFrame, cov: DataFrame, cap: float = 0.4, rf: float = 0.0, points: int = 25) -> DataFrame:

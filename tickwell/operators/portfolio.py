@@ -35,7 +35,7 @@ def remove_ticker(tickers: DataFrame, ticker: str) -> DataFrame:
     return tickers.filter(F.col("ticker") != ticker.strip().upper())
 
 
-def group_of(tickers: DataFrame, universe: DataFrame, other: str = "Other") -> DataFrame:
+def group_of(tickers: DataFrame, universe: DataFrame, other: str = "My additions") -> DataFrame:
     """The first group that holds a ticker."""
     first = universe.groupBy("ticker").agg(F.min_by("group", "pos").alias("group"))
     return tickers.join(first, "ticker", "left").withColumn("group", F.coalesce("group", F.lit(other)))
@@ -56,7 +56,32 @@ def sell(positions: DataFrame, cash: float, ticker: str, price: float) -> tuple[
 
 
 def valuation(positions: DataFrame, prices: DataFrame) -> DataFrame:
-    """Q14: value and result of each position at (ticker, last); at cost where no price is known."""
-    p = positions.join(prices, "ticker", "left").withColumn("price", F.coalesce("last", "cost"))
-    value = F.col("shares") * F.col("price")
-    return p.select("ticker", "shares", "cost", "price", value.alias("value"), (value - F.col("shares") * F.col("cost")).alias("pnl"), (value / F.sum(value).over(Window.partitionBy())).alias("weight"))
+    """Q14: value and result of each position at (ticker, last); unknown where no price is known."""
+    p, value, basis = positions.join(prices, "ticker", "left"), F.col("shares") * F.col("last"), F.col("shares") * F.col("cost")
+    total = p.agg(F.sum(value).alias("total"))
+    percent = F.when(F.col("cost") != 0, (F.col("last") / F.col("cost") - 1) * 100)
+    out = p.join(F.broadcast(total)).select("ticker", "shares", "cost", F.col("last").alias("price"), value.alias("value"), (value - basis).alias("pnl"), percent.alias("pnl_pct"), "total")
+    return out.withColumn("weight", F.when(F.col("total") > 0, F.col("value") / F.col("total"))).drop("total")
+
+
+def save_portfolio(positions: DataFrame, cash: float, path: str) -> None:
+    """K2: cash and positions as one JSON row, which is a user's state and small by its meaning."""
+    state = positions.agg(F.sort_array(F.collect_list(F.struct("ticker", "shares", "cost"))).alias("positions")).select(F.lit(cash).alias("cash"), "positions")
+    state.coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_portfolio(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
+    """The saved state, or the starting one where nothing readable is saved."""
+    try:
+        state = spark.read.schema("cash double, positions array<struct<ticker: string, shares: double, cost: double>>").json(path)
+        row = state.filter("cash IS NOT NULL").select("cash").first()
+    except AnalysisException:
+        row = None
+    if row is None:
+        return spark.createDataFrame([], POSITIONS), CASH
+    return state.select(F.inline("positions")), row["cash"]
+
+
+def reset_watchlist(tickers: DataFrame, default: DataFrame) -> DataFrame:
+    """K1, Q15: back to the default list."""
+    return default.select(*tickers.columns)

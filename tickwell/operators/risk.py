@@ -114,41 +114,62 @@ def factor_exposures(rets: DataFrame, factors: list[str], least: int = 60) -> Da
 
 
 def factor_returns(rets: DataFrame, spec: dict[str, tuple[str, str | None]]) -> DataFrame:
-    """one column a factor, long minus short leg; dates on which all are known."""
+    """one column a factor, long minus short leg; dates on which all are known. A factor whose long leg has no
+    returns at all is left out, one whose short leg has none is the long leg outright."""
     legs = sorted({t for pair in spec.values() for t in pair if t})
+    there = {r["ticker"] for r in rets.filter(F.col("ticker").isin(legs)).select("ticker").distinct().collect()}  # as many as the spec names
     wide = rets.filter(F.col("ticker").isin(legs)).groupBy("date").agg(*[F.max(F.when(F.col("ticker") == t, F.col("ret"))).alias(f"leg_{i}") for i, t in enumerate(legs)])
     of = {t: F.col(f"leg_{i}") for i, t in enumerate(legs)}
-    return wide.select("date", *[(of[a] - of[b] if b else of[a]).alias(f) for f, (a, b) in spec.items()]).na.drop()
+    return wide.select("date", *[(of[a] - of[b] if b in there else of[a]).alias(f) for f, (a, b) in spec.items() if a in there]).na.drop()
+
+
+def portfolio_metrics(rets: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row with the risk table of the weighted portfolio, from (ticker, date, ret, bench) and (ticker, weight)."""
+    return summary(portfolio_returns(rets, weights).filter("bench IS NOT NULL").withColumn("ticker", F.lit("portfolio")), least=1)
+
+
+def portfolio_exposures(rets: DataFrame, weights: DataFrame, facs: DataFrame) -> DataFrame:
+    """the blended return series on the factors."""
+    names = [c for c in facs.columns if c != "date"]
+    blended = portfolio_returns(rets, weights).select(F.lit("portfolio").alias("ticker"), "date", "ret")
+    return factor_exposures(blended.join(F.broadcast(facs), "date"), names)
 
 
 def expected_returns(rets: DataFrame, halflife: int = 63) -> DataFrame:
-    """O1: exponentially weighted mean, a year's worth."""
-    age = F.max("session_i").over(Window.partitionBy()) - F.col("session_i")
-    w = F.pow(F.lit(0.5), F.col("age") / halflife)
-    return rets.withColumn("age", age).groupBy("ticker").agg((F.sum(F.col("ret") * w) / F.sum(w) * YEAR).alias("mu"))
+    """O1: exponentially weighted mean, a year's worth; ages are sessions before the panel's last one."""
+    last = rets.agg(F.max("session_i").alias("last"))
+    w = F.pow(F.lit(0.5), (F.col("last") - F.col("session_i")) / halflife)
+    return rets.join(F.broadcast(last)).groupBy("ticker").agg((F.sum(F.col("ret") * w) / F.sum(w) * YEAR).alias("mu"))
 
 
 def shrunk_covariance(rets: DataFrame) -> DataFrame:
-    """O2: Ledoit-Wolf (2004) shrinkage towards the scaled identity, from complete dates; long (ticker, other, cov)."""
-    k = rets.select("ticker").distinct().count()
-    full = rets.groupBy("date").agg(F.count("*").alias("n")).filter(F.col("n") == k).select("date")
+    """O2: Ledoit-Wolf (2004) shrinkage towards the scaled identity, from complete dates; long (ticker, other, cov).
+    What the shrinkage needs of all pairs is one row of sums."""
+    width = rets.agg(F.count_distinct("ticker").alias("k"))
+    full = rets.groupBy("date").agg(F.count("*").alias("n")).join(F.broadcast(width)).filter("n = k").select("date")
     own = rets.join(full, "date", "left_semi")
     own = own.withColumn("x", F.col("ret") - F.avg("ret").over(Window.partitionBy("ticker"))).select("date", "ticker", "x")
     other = own.select("date", F.col("ticker").alias("other"), F.col("x").alias("y"))
-    sums = own.join(other, "date").groupBy("ticker", "other").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.avg(F.pow(F.col("x") * F.col("y"), F.lit(2))).alias("q"), F.count("*").alias("n"))
-    every = Window.partitionBy()
-    p = F.lit(float(k))
-    mu = F.sum(F.when(F.col("ticker") == F.col("other"), F.col("s"))).over(every) / p
-    square = F.sum(F.col("s") * F.col("s")).over(every)
-    beta = (F.sum("q").over(every) - square) / (p * F.col("n"))
-    delta = (square - 2 * mu * mu * p + p * mu * mu) / p
-    shrink = F.when(beta == 0, 0.0).otherwise(F.least(beta, delta) / delta)
-    eye = F.when(F.col("ticker") == F.col("other"), shrink * mu).otherwise(0.0)
-    return sums.select("ticker", "other", (((1 - shrink) * F.col("s") + eye) * YEAR).alias("cov"), shrink.alias("shrinkage"))
+    xy, same = F.col("x") * F.col("y"), F.col("ticker") == F.col("other")
+    sums = own.join(other, "date").groupBy("ticker", "other").agg(F.avg(xy).alias("s"), F.avg(xy * xy).alias("q"), F.count("*").alias("n"))
+    p, mu, square = F.sum(same.cast("double")), F.sum(F.when(same, F.col("s"))), F.sum(F.col("s") * F.col("s"))
+    total = sums.agg(p.alias("p"), (mu / p).alias("mu"), square.alias("square"), ((F.sum("q") - square) / (p * F.max("n"))).alias("beta"))
+    delta = (F.col("square") - F.col("p") * F.col("mu") * F.col("mu")) / F.col("p")
+    total = total.select("mu", F.when(F.col("beta") == 0, 0.0).otherwise(F.least(F.col("beta"), delta) / delta).alias("shrinkage"))
+    shrink = F.col("shrinkage")
+    cov = (1 - shrink) * F.col("s") + F.when(same, shrink * F.col("mu")).otherwise(0.0)
+    return sums.join(F.broadcast(total)).select("ticker", "other", (cov * YEAR).alias("cov"), "shrinkage")
+
+
+def trade_stats(trades: DataFrame, by: str = "run_id") -> DataFrame:
+    """Number, share of wins, money won for each 1 lost and average result of trades(by, pnl)."""
+    won, lost = F.sum(F.greatest("pnl", F.lit(0.0))), F.sum(F.greatest(-F.col("pnl"), F.lit(0.0)))
+    factor = F.when(lost > 0, won / lost).when(won > 0, float("inf"))
+    return trades.groupBy(by).agg(F.count("*").alias("n_trades"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), factor.alias("profit_factor"), F.avg("pnl").alias("avg_pnl"))
 
 
 def perf_stats(equity: DataFrame, by: str = "run_id") -> DataFrame:
-    """B7 without trade columns: total, CAGR, volatility, Sharpe, Sortino and drawdown of equity curves."""
+    """B7; trade_stats has the columns of trades, summary beta and alpha: total, CAGR, volatility, Sharpe, Sortino and drawdown of equity curves."""
     w = Window.partitionBy(by).orderBy("date")
     e = equity.withColumn("ret", F.col("equity") / F.lag("equity").over(w) - 1).withColumn("dd", F.col("equity") / F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     r = F.col("ret")
@@ -160,6 +181,3 @@ def perf_stats(equity: DataFrame, by: str = "run_id") -> DataFrame:
         F.min("dd").alias("max_dd"), F.count("ret").alias("n_days"),
     )
 
-
-def half_even(x: Column, digits: int) -> Column:
-    return F.bround(x, digits)

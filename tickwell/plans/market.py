@@ -61,16 +61,16 @@ def p9(spark, sf):
     return rounded(src.bars(spark, sf).withColumn("r", rank).filter("r <= 30").select("ticker", "date", "close"))
 
 
-@query("p10_missing", with_bars(" SELECT DISTINCT p_name AS ticker FROM part WHERE p_partkey < 50 AND p_name NOT IN (SELECT ticker FROM bars)"))
+@query("p10_missing", with_bars(" SELECT DISTINCT p_name AS ticker FROM part WHERE p_name NOT IN (SELECT ticker FROM bars)"))
 def p10(spark, sf):
     """Wanted tickers without bars, by an anti join."""
-    wanted = spark.read.parquet(f"{sf}/part.parquet").filter("p_partkey < 50").select(F.col("p_name").alias("ticker")).distinct()
+    wanted = spark.read.parquet(f"{sf}/part.parquet").filter("p_name IS NOT NULL").select(F.col("p_name").alias("ticker")).distinct()
     return wanted.join(src.bars(spark, sf).select("ticker").distinct(), "ticker", "left_anti")
 
 
 @query("p10_all_missing", with_bars(" SELECT DISTINCT p_name AS ticker FROM part WHERE p_name NOT IN (SELECT ticker FROM bars)"))
 def p10_all(spark, sf):
-    """J9 over every part; p10_missing asks for the first 49 keys."""
+    """The same under the name of the first round."""
     wanted = spark.read.parquet(f"{sf}/part.parquet").filter("p_name IS NOT NULL").select(F.col("p_name").alias("ticker")).distinct()
     return wanted.join(src.bars(spark, sf).select("ticker").distinct(), "ticker", "left_anti")
 
@@ -316,12 +316,12 @@ def o8(spark, sf):
     return rounded(optimize.solve(mu, cov.select("ticker", "other", "cov")), 4)
 
 
-_POOL = RETS + ", pool AS (SELECT ret, row_number() OVER (ORDER BY date) - 1 AS k FROM rets WHERE ticker = 'MKT' AND ret IS NOT NULL), nn AS (SELECT count(*) AS n FROM pool), st AS (SELECT path, b, CAST(floor(('0x' || substr(md5('7:' || path || ':' || b), 1, 12))::BIGINT / 281474976710656e0 * n) AS BIGINT) AS s FROM range(500) p(path), range(5) q(b), nn), sp AS (SELECT path, b * 5 + o + 1 AS day, (s + o) % n AS k FROM st, range(5) r(o), nn WHERE b * 5 + o + 1 <= 21), pa AS (SELECT path, day, product(1 + ret) OVER (PARTITION BY path ORDER BY day) AS growth FROM sp JOIN pool USING (k) UNION ALL SELECT path, 0, 1e0 FROM range(500) p(path))"
+_POOL = RETS + ", pool AS (SELECT ret, row_number() OVER (ORDER BY date) - 1 AS k FROM rets WHERE ticker = 'MKT' AND ret IS NOT NULL), nn AS (SELECT count(*) AS n FROM pool), st AS (SELECT path, b, CAST(floor(('0x' || substr(md5('7:' || path || ':' || b), 1, 12))::BIGINT / 281474976710656e0 * n) AS BIGINT) AS s FROM range(2000) p(path), range(5) q(b), nn), sp AS (SELECT path, b * 5 + o + 1 AS day, (s + o) % n AS k FROM st, range(5) r(o), nn WHERE b * 5 + o + 1 <= 21), pa AS (SELECT path, day, product(1 + ret) OVER (PARTITION BY path ORDER BY day) AS growth FROM sp JOIN pool USING (k) UNION ALL SELECT path, 0, 1e0 FROM range(2000) p(path))"
 
 
 def _paths(spark, sf):
     rets = src.returns(src.bars(spark, sf)).filter("ticker = 'MKT'")
-    return montecarlo.paths(spark, montecarlo.pool(rets), 21, 500, 5, 7)
+    return montecarlo.paths(spark, montecarlo.pool(rets), 21, 2000, 5, 7)
 
 
 @query("m3_fan_bands", with_bars(_POOL + " SELECT CAST(day AS INT) AS day, " + ", ".join(f"round(quantile_cont(growth, {q}), 6) + 0 AS p{int(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " FROM pa GROUP BY day"))
@@ -349,7 +349,7 @@ def m7(spark, sf):
     return rounded(montecarlo.equity_confidence(_paths(spark, sf), 21, 100.0, 0.01))
 
 
-@query("m9_dip_buy", with_bars(_POOL + ", fl AS (SELECT path, min(day) AS f FROM pa WHERE day > 0 AND growth <= 0.98e0 GROUP BY 1), en AS (SELECT path, f, 0.98e0 AS price, 1 AS kind FROM fl UNION ALL SELECT path, 0, 1e0, 0 FROM range(500) p(path)), af AS (SELECT e.path, e.kind, e.f, pa.day, growth / price - 1 AS r FROM en e LEFT JOIN pa ON pa.path = e.path AND pa.day > e.f), ht AS (SELECT path, kind, any_value(f) AS f, min(day) FILTER (r >= 0.03) AS up, min(day) FILTER (r <= -0.03) AS dn, arg_max(r, day) AS ende FROM af GROUP BY 1, 2), ex AS (SELECT *, CASE WHEN up IS NOT NULL AND (dn IS NULL OR up <= dn) THEN 0.03e0 WHEN dn IS NOT NULL THEN -0.03e0 ELSE coalesce(ende, 0) END AS ret FROM ht) SELECT round(count(*) FILTER (kind = 1) / 500e0, 6) + 0 AS fill_rate, round(avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) FILTER (kind = 1), 6) + 0 AS win_rate, round(avg(ret) FILTER (kind = 1), 6) + 0 AS avg_filled, round(coalesce(sum(ret) FILTER (kind = 1), 0) / 500, 6) + 0 AS avg_overall, CAST(trunc(quantile_cont(f, 0.5) FILTER (kind = 1)) AS INT) AS median_fill_day, round(avg(ret) FILTER (kind = 0), 6) + 0 AS now_avg, round(avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) FILTER (kind = 0), 6) + 0 AS now_win FROM ex"))
+@query("m9_dip_buy", with_bars(_POOL + ", fl AS (SELECT path, min(day) AS f FROM pa WHERE day > 0 AND growth <= 0.98e0 GROUP BY 1), en AS (SELECT path, f, 0.98e0 AS price, 1 AS kind FROM fl UNION ALL SELECT path, 0, 1e0, 0 FROM range(2000) p(path)), af AS (SELECT e.path, e.kind, e.f, pa.day, growth / price - 1 AS r FROM en e LEFT JOIN pa ON pa.path = e.path AND pa.day > e.f), ht AS (SELECT path, kind, any_value(f) AS f, min(day) FILTER (r >= 0.03) AS up, min(day) FILTER (r <= -0.03) AS dn, arg_max(r, day) AS ende FROM af GROUP BY 1, 2), ex AS (SELECT *, CASE WHEN up IS NOT NULL AND (dn IS NULL OR up <= dn) THEN 0.03e0 WHEN dn IS NOT NULL THEN -0.03e0 ELSE coalesce(ende, 0) END AS ret FROM ht) SELECT round(count(*) FILTER (kind = 1) / 500e0, 6) + 0 AS fill_rate, round(avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) FILTER (kind = 1), 6) + 0 AS win_rate, round(avg(ret) FILTER (kind = 1), 6) + 0 AS avg_filled, round(coalesce(sum(ret) FILTER (kind = 1), 0) / 500, 6) + 0 AS avg_overall, CAST(trunc(quantile_cont(f, 0.5) FILTER (kind = 1)) AS INT) AS median_fill_day, round(avg(ret) FILTER (kind = 0), 6) + 0 AS now_avg, round(avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) FILTER (kind = 0), 6) + 0 AS now_win FROM ex"))
 def m9(spark, sf):
     return rounded(montecarlo.dip_buy(_paths(spark, sf), 0.02, 0.03, 0.03))
 
@@ -422,11 +422,20 @@ def q1(spark, sf):
     return rounded(s.select("ticker", "close", "roc1", "roc20", "edge", say.rsi(c("rsi14")).label.alias("rsi"), say.percent_b(c("pctb")).label.alias("band"), say.volume(c("rvol")).label.alias("volume"), say.reason(c("momentum"), c("trend"), c("meanrev"), c("volume_score")).alias("reason")).orderBy(F.desc("edge"), "ticker"))
 
 
-@query("q14_portfolio", with_bars(", l AS (SELECT ticker, arg_max(close, date) AS last FROM bars GROUP BY 1), p AS (SELECT 'MKT' AS ticker, 0.3e0 AS shares, (0.1e0 * 500 + 0.2e0 * 80) / 0.3e0 AS cost), v AS (SELECT p.*, coalesce(last, cost) AS price FROM p LEFT JOIN l USING (ticker)) SELECT ticker, round(shares, 6) + 0 AS shares, round(cost, 6) + 0 AS cost, round(price, 6) + 0 AS price, round(shares * price, 6) + 0 AS value, round(shares * price - shares * cost, 6) + 0 AS pnl, 1e0 AS weight FROM v"))
+@query(
+    "q14_portfolio",
+    with_bars(
+        """, l AS (SELECT ticker, arg_max(close, date) AS last FROM bars GROUP BY 1),
+        p AS (SELECT 'MKT' AS ticker, 0.3e0 AS shares, (0.1e0 * 500 + 0.2e0 * 80) / 0.3e0 AS cost UNION ALL SELECT 'NOBODY', 1e0, 5e0),
+        v AS (SELECT p.*, last AS price FROM p LEFT JOIN l USING (ticker))
+        SELECT ticker, round(shares, 6) + 0 AS shares, round(cost, 6) + 0 AS cost, round(price, 6) + 0 AS price, round(shares * price, 6) + 0 AS value,
+          round(shares * price - shares * cost, 6) + 0 AS pnl, round((price / cost - 1) * 100, 6) + 0 AS pnl_pct, round(shares * price / sum(shares * price) OVER (), 6) + 0 AS weight FROM v"""
+    ),
+)
 def q14(spark, sf):
-    """K3, Q14: two purchases averaged, valued at the last close."""
+    """K3, Q14: two purchases averaged, valued at the last close, beside one whose price nobody knows."""
     state, cash = spark.createDataFrame([], portfolio.POSITIONS), portfolio.CASH
-    for shares, price in ((0.1, 500.0), (0.2, 80.0)):
-        state, cash = portfolio.buy(state, cash, "mkt", shares, price)
+    for ticker, shares, price in (("mkt", 0.1, 500.0), ("mkt", 0.2, 80.0), ("nobody", 1.0, 5.0)):
+        state, cash = portfolio.buy(state, cash, ticker, shares, price)
     last = src.bars(spark, sf).groupBy("ticker").agg(F.max_by("close", "date").alias("last"))
     return rounded(portfolio.valuation(state, last))

@@ -18,10 +18,12 @@ def bars_ctes(key: str = "p_brand", grain: str = "week", lineitem: str = "lineit
   SELECT {key} AS ticker, CAST(date_trunc('{grain}', l_shipdate) AS DATE) AS date,
          CAST(round(l_discount * 100) AS BIGINT) AS d, CAST(round(l_tax * 100) AS BIGINT) AS x, CAST(l_quantity AS BIGINT) AS q
   FROM {lineitem} JOIN {part} ON l_partkey = p_partkey),
-lm AS (SELECT * FROM li UNION ALL SELECT '{BENCHMARK}' AS ticker, date, d, x, q FROM li),
-agg AS (
+one AS (
   SELECT ticker, date, CAST(count(*) AS BIGINT) AS n, CAST(sum(d) AS BIGINT) AS disc, CAST(sum(x) AS BIGINT) AS tax, CAST(sum(q) AS BIGINT) AS qty
-  FROM lm GROUP BY ticker, date),
+  FROM li GROUP BY ticker, date),
+agg AS (
+  SELECT * FROM one UNION ALL
+  SELECT '{BENCHMARK}' AS ticker, date, CAST(sum(n) AS BIGINT), CAST(sum(disc) AS BIGINT), CAST(sum(tax) AS BIGINT), CAST(sum(qty) AS BIGINT) FROM one GROUP BY date),
 px AS (
   SELECT *, 1e2 * exp(sum(5e-1 * (CAST(disc AS DOUBLE) / 1e2 - 5e-2 * n) / sqrt(CAST(n AS DOUBLE)))
                       OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)) AS close FROM agg),
