@@ -349,7 +349,7 @@ def m7(spark, sf):
     return rounded(montecarlo.equity_confidence(_paths(spark, sf), 21, 100.0, 0.01))
 
 
-@query("m9_dip_buy", with_bars(_POOL + ", fl AS (SELECT path, min(day) AS f FROM pa WHERE day > 0 AND growth <= 0.98e0 GROUP BY 1), en AS (SELECT path, f, 0.98e0 AS price, 1 AS kind FROM fl UNION ALL SELECT path, 0, 1e0, 0 FROM range(2000) p(path)), af AS (SELECT e.path, e.kind, e.f, pa.day, growth / price - 1 AS r FROM en e LEFT JOIN pa ON pa.path = e.path AND pa.day > e.f), ht AS (SELECT path, kind, any_value(f) AS f, min(day) FILTER (r >= 0.03) AS up, min(day) FILTER (r <= -0.03) AS dn, arg_max(r, day) AS ende FROM af GROUP BY 1, 2), ex AS (SELECT *, CASE WHEN up IS NOT NULL AND (dn IS NULL OR up <= dn) THEN 0.03e0 WHEN dn IS NOT NULL THEN -0.03e0 ELSE coalesce(ende, 0) END AS ret FROM ht) SELECT round(count(*) FILTER (kind = 1) / 500e0, 6) + 0 AS fill_rate, round(avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) FILTER (kind = 1), 6) + 0 AS win_rate, round(avg(ret) FILTER (kind = 1), 6) + 0 AS avg_filled, round(coalesce(sum(ret) FILTER (kind = 1), 0) / 500, 6) + 0 AS avg_overall, CAST(trunc(quantile_cont(f, 0.5) FILTER (kind = 1)) AS INT) AS median_fill_day, round(avg(ret) FILTER (kind = 0), 6) + 0 AS now_avg, round(avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) FILTER (kind = 0), 6) + 0 AS now_win FROM ex"))
+@query("m9_dip_buy", with_bars(_POOL + ", fl AS (SELECT path, min(day) AS f FROM pa WHERE day > 0 AND growth <= 0.98e0 GROUP BY 1), en AS (SELECT path, f, 0.98e0 AS price, 1 AS kind FROM fl UNION ALL SELECT path, 0, 1e0, 0 FROM range(2000) p(path)), af AS (SELECT e.path, e.kind, e.f, pa.day, growth / price - 1 AS r FROM en e LEFT JOIN pa ON pa.path = e.path AND pa.day > e.f), ht AS (SELECT path, kind, any_value(f) AS f, min(day) FILTER (r >= 0.03) AS up, min(day) FILTER (r <= -0.03) AS dn, arg_max(r, day) AS ende FROM af GROUP BY 1, 2), ex AS (SELECT *, CASE WHEN up IS NOT NULL AND (dn IS NULL OR up <= dn) THEN 0.03e0 WHEN dn IS NOT NULL THEN -0.03e0 ELSE coalesce(ende, 0) END AS ret FROM ht) SELECT round(count(*) FILTER (kind = 1) / 2000e0, 6) + 0 AS fill_rate, round(avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) FILTER (kind = 1), 6) + 0 AS win_rate, round(avg(ret) FILTER (kind = 1), 6) + 0 AS avg_filled, round(coalesce(sum(ret) FILTER (kind = 1), 0) / 2000, 6) + 0 AS avg_overall, CAST(trunc(quantile_cont(f, 0.5) FILTER (kind = 1)) AS INT) AS median_fill_day, round(avg(ret) FILTER (kind = 0), 6) + 0 AS now_avg, round(avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) FILTER (kind = 0), 6) + 0 AS now_win FROM ex"))
 def m9(spark, sf):
     return rounded(montecarlo.dip_buy(_paths(spark, sf), 0.02, 0.03, 0.03))
 
