@@ -107,8 +107,8 @@ def test_ppm_code_lengths_equal_direct_computation():
 
     padded = b"\0\0\0" + text
     grams = Counter(padded[i - 3 : i + 1] for i in range(3, len(padded)))
-    counts = [("x", g[3] | g[2] << 8 | g[1] << 16 | g[0] << 24, n) for g, n in grams.items()]
-    m = language_id.Model(counts, 1000)
+    codes = np.array([g[3] | g[2] << 8 | g[1] << 16 | g[0] << 24 for g in grams], np.int64)
+    m = language_id.Model({"x": language_id.Tree(codes, np.array(list(grams.values()), float))})
 
     def bits(context, c):
         if context is None:
