@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import weakref
 
@@ -75,8 +76,12 @@ def fresh(columns: list[str], name: str) -> str:
 
 
 def trim() -> None:
-    """Give memory that Arrow keeps back to the machine, at the end of a task in a worker that stays."""
+    """Give memory that Arrow and the C library keep back to the machine, at the end of a task in a worker that
+    stays. The second is there on glibc only."""
     pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
 
 
 def words(text: Column | str) -> Column:

@@ -190,6 +190,23 @@ def prefix_pairs(sets: DataFrame, similarity: int, growth: float = 1.05) -> Data
     return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
+def _buckets(classes: DataFrame, t: int) -> DataFrame:
+    """(key, rep, n, members): the buckets of the t*t tables that hold several classes.
+
+    Such a bucket needs both of its half keys in several classes, so those are counted first, 2*t a class; a class
+    then makes keys only of its shared half keys, which is far fewer than t*t where most texts have no copy."""
+    halves = classes.select("rep", "n", F.posexplode("halves").alias("k", "half"))
+    twice = halves.groupBy("k", "half").agg(F.count("*").alias("members")).filter("members > 1").select("k", "half")
+    own = halves.join(twice.hint("merge"), ["k", "half"]).groupBy("rep", "n").agg(F.collect_list(F.struct("k", "half")).alias("own"))
+    sides = own.select("rep", "n", F.expr(f"filter(own, x -> x.k < {t})").alias("u"), F.expr(f"filter(own, x -> x.k >= {t})").alias("v"))
+    tables = F.expr("explode(flatten(transform(u, x -> transform(v, y -> xxhash64(x.k, y.k, x.half, y.half)))))")
+    keyed = materialise(sides.select(tables.alias("key"), "rep", "n"), "keyed")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    buckets = materialise(keyed.join(shared.hint("merge"), "key"), "buckets")
+    discard(keyed)
+    return buckets
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 75, t: int = 10, width: int = 3, seed: int = 7
 ) -> DataFrame:
@@ -208,12 +225,7 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
     classes = signed.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(first, F.first("halves").alias("halves"), F.first("marks").alias("marks"))
     classes = materialise(classes.select(F.col("set_a").alias("rep"), "set_b", F.col("n_shingles").alias("n"), "first", "halves", "marks"), "classes")
-    tables = F.expr(
-        f"explode(flatten(transform(sequence(0, {t - 1}), i -> transform(sequence(0, {t - 1}), j -> xxhash64(i, j, halves[i], halves[{t} + j])))))"
-    )
-    keyed = classes.select(tables.alias("key"), "rep", "n")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    buckets = materialise(keyed.join(shared, "key"), "buckets")
+    buckets = _buckets(classes, t)
     met = materialise(buckets.groupBy("rep").agg(F.sum("members").alias("central")), "met")
     wanted = classes.join(met, "rep").select("rep", "first.th")
     texts = materialise(source.select("th", "text").join(wanted.hint("merge"), "th").select("rep", "text").dropDuplicates(["rep"]), "texts")
