@@ -176,7 +176,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lower-cased words in row order, and each row's first index."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (lower-cased, unless asked otherwise) in row order, and each row's first index."""
     starts, ends, at = word_spans(data, offsets)
-    return span_hashes(_BYTE_CODE[_LOWER[data]], starts, ends), at
+    return span_hashes(_BYTE_CODE[_LOWER[data] if lower else data], starts, ends), at
