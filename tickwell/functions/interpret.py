@@ -137,11 +137,30 @@ def odds(p: Column) -> Column:
 CATALYSTS = {"earnings": "an earnings report", "split": "a share split", "dividend": "a dividend", "news": "news of the day", "market": "a move of the whole market", "unknown": "no known cause"}
 
 
-def event_story(ticker: Column, ret: Column, catalyst: Column, p: Column, rvol: Column) -> Column:
-    """N14"""
-    why = F.coalesce(*[F.when(catalyst == k, F.lit(v)) for k, v in CATALYSTS.items()], F.lit(CATALYSTS["unknown"]))
-    heavy = F.when(rvol >= 2, F.format_string(" on %.1f times the usual volume", rvol)).when(rvol < 0.8, " on thin volume").otherwise("")
-    return F.concat(ticker, F.when(ret > 0, " rose ").otherwise(" fell "), F.format_string("%.1f%%", F.abs(ret) * 100), heavy, F.lit(": "), why, F.lit(". By chance "), odds(p), F.lit("."))
+def signed(x: Column, digits: int = 1) -> Column:
+    """A number with its sign and so many decimals, halves to even."""
+    r = F.bround(x, digits)
+    return F.concat(F.when(r >= 0, "+").otherwise("-"), F.format_string(f"%.{digits}f", F.abs(r)))
+
+
+def event_story(ticker: Column, ret: Column, z: Column, catalyst: Column, p: Column, rvol: Column, headline: Column, market_move: Column, bench_ret: Column) -> Column:
+    """(title, label, story) of a significant move. The story tells its size and odds, the catalyst (the newest
+    headline where news is the reason, the benchmark's own move where the market is), the volume and, for other
+    reasons, a market that moved along."""
+    label = F.coalesce(*[F.when(catalyst == k, F.lit(v)) for k, v in CATALYSTS.items()], F.lit(CATALYSTS["unknown"]))
+    percent, size = F.concat(signed(ret * 100), F.lit("%")), F.format_string("%.1f", F.bround(F.abs(z), 1))
+    why = (
+        F.when((catalyst == "news") & headline.isNotNull(), F.concat(F.lit(': "'), headline, F.lit('"')))
+        .when((catalyst == "market") & bench_ret.isNotNull(), F.concat(F.lit(", which moved "), signed(bench_ret * 100), F.lit("% itself")))
+        .otherwise("")
+    )
+    times = F.format_string("%.1f", F.bround(rvol, 1))
+    heavy = F.when(rvol >= 2, F.concat(F.lit(" Volume was "), times, F.lit(" times the usual."))).when(rvol < 0.8, F.concat(F.lit(" Volume was thin, "), times, F.lit(" times the usual."))).otherwise("")
+    along = F.when(market_move & (catalyst != "market"), " The market moved the same way.").otherwise("")
+    story = F.concat(
+        ticker, F.when(ret > 0, " rose ").otherwise(" fell "), percent, F.lit(", "), size, F.lit(" usual deviations: "), label, why, F.lit(". By chance "), odds(p), F.lit("."), heavy, along
+    )
+    return F.struct(F.concat(percent, F.lit(", "), size, F.lit(" deviations")).alias("title"), label.alias("label"), story.alias("story"))
 
 
 def entry(rsi_: Column, pctb: Column, off_high: Column, above: Column, earnings_in: Column) -> Column:

@@ -33,10 +33,12 @@ class TradeConfig:
 def rebalance(bars: DataFrame, lookback: int = 20, top_n: int = 5, hold: int = 5, cost_bps: float = 7.0, capital: float = 100.0) -> DataFrame:
     """B1: equity of holding the `top_n` by `lookback`-session change, chosen anew every `hold` sessions.
     Weights stay as set until the next choice; the return of a session belongs to the weights of the one before.
-    Bars carry session_i. The result has one row a session; only such rows meet in the last, global window."""
-    score = F.try_divide("close", F.lag("close", lookback).over(by_ticker())) - 1
-    ret = F.coalesce(F.try_divide("close", F.lag("close").over(by_ticker())) - 1, F.lit(0.0))
-    base = bars.select("ticker", "date", "session_i", score.alias("score"), ret.alias("ret"))
+    Bars are densified and carry session_i; changes carry the last close over gaps. The result has one row a session;
+    only such rows meet in the last, global window."""
+    padded = bars.withColumn("_c", F.last("close", ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)))
+    score = F.try_divide("_c", F.lag("_c", lookback).over(by_ticker())) - 1
+    ret = F.coalesce(F.try_divide("_c", F.lag("_c").over(by_ticker())) - 1, F.lit(0.0))
+    base = padded.select("ticker", "date", "session_i", score.alias("score"), ret.alias("ret"))
     start = lookback + 1
     chosen = base.filter((F.col("session_i") > start) & ((F.col("session_i") - 1 - start) % hold == 0) & F.col("score").isNotNull())
     rank = F.row_number().over(Window.partitionBy("session_i").orderBy(F.desc("score"), "ticker"))
@@ -94,7 +96,7 @@ def signal_trades(inputs: DataFrame, cfg: TradeConfig | None = None) -> DataFram
             net = p["shares"] * raw * (1 - market) * (1 - fee)
             cash += net
             pnl = net - p["cost"]
-            rows.append({"kind": "trade", "ticker": ticker, "signal_date": p["signal"], "entry_date": p["date"], "exit_date": date, "entry": p["fill"], "exit": raw * (1 - market), "pnl": pnl, "return_pct": pnl / p["cost"] * 100, "costs": p["fees"] + p["shares"] * raw - net, "reason": reason, "days": i - p["i"]})
+            rows.append({"kind": "trade", "ticker": ticker, "signal_date": p["signal"], "entry_date": p["date"], "exit_date": date, "entry": p["fill"], "exit": raw * (1 - market), "pnl": pnl, "return_pct": pnl / p["cost"], "costs": p["fees"] + p["shares"] * raw - net, "reason": reason, "days": i - p["i"]})
 
         for i, (date, day) in enumerate(d.sort_values(["date", "ticker"], kind="stable").groupby("date", sort=True)):
             bar = day.set_index("ticker").to_dict("index")
@@ -103,7 +105,7 @@ def signal_trades(inputs: DataFrame, cfg: TradeConfig | None = None) -> DataFram
                 if b is None or pd.isna(b["open"]):
                     continue
                 if b["open"] <= p["stop"]:
-                    close(t, b["open"], date, i, "gap stop")
+                    close(t, b["open"], date, i, "stop")
                 elif b["leave"]:
                     close(t, b["open"], date, i, "signal")
                 elif i - p["i"] >= c.max_hold:

@@ -72,37 +72,45 @@ RECURSIVE = {
 
 
 def oracle_ctes() -> str:
-    """The same recursions as one recursive CTE over `frame`, ending in `rec` (needs WITH RECURSIVE)."""
+    """The same recursions as one recursive CTE over `frame`, ending in `rec` (needs WITH RECURSIVE). By definition,
+    y = ((1 - a)^g * y + a * x) / ((1 - a)^g + a) with g the rows since the last x; a row without x keeps y."""
 
-    def step(x: str, y: str, a: str) -> str:
-        return f"(1 - {a}) * e.{y} + {a} * {x}"
+    def ew(x: str, y: str, a: str, g: str = "g.gap") -> str:
+        kept = f"power(1 - {a}, {g})"
+        return f"CASE WHEN ({x}) IS NULL THEN e.{y} WHEN e.{y} IS NULL THEN {x} ELSE ({kept} * e.{y} + {a} * ({x})) / ({kept} + {a}) END"
 
     up, down = "(g.high - g.lagged_high)", "(g.lagged_low - g.low)"
     plus = f"CASE WHEN {up} > {down} AND {up} > 0 THEN {up} ELSE 0 END"
     minus = f"CASE WHEN {down} > {up} AND {down} > 0 THEN {down} ELSE 0 END"
-    gain, loss = "greatest(g.close - g.pc, 0)", "greatest(g.pc - g.close, 0)"
-    w14 = "1e0 / 14"
+    gain, loss = (f"CASE WHEN g.close - g.pc IS NOT NULL THEN greatest({x}, 0) END" for x in ("g.close - g.pc", "g.pc - g.close"))
+    w14 = "(1e0 / 14)"
     a = {n: f"(2e0 / {n + 1})" for n in (9, 10, 12, 20, 26, 50)}
-    p, m = step(f"({plus})", "pdm", w14), step(f"({minus})", "mdm", w14)
-    dx = f"(100 * abs(({p}) - ({m})) / nullif(({p}) + ({m}), 0))"
-
-    def wild(x: str, y: str, n: str) -> str:
-        return f"CASE WHEN g.i = 2 THEN {x} ELSE {step(x, y, n)} END"
-
-    macd = f"(({step('g.close', 'e12', a[12])}) - ({step('g.close', 'e26', a[26])}))"
+    p, m = ew(plus, "pdm", w14, "1"), ew(minus, "mdm", w14, "1")
+    atr = ew("g.true_range", "a14", w14)
+    # rows of the panel count for the directional moves, bars for the range below them
+    dx = f"(CASE WHEN g.i >= 14 AND g.n_bars >= 14 AND ({atr}) <> 0 THEN 100 * abs(({p}) - ({m})) / nullif(({p}) + ({m}), 0) END)"
+    line = f"(({ew('g.close', 'e12', a[12])}) - ({ew('g.close', 'e26', a[26])}))"
+    columns = ["y10", "y20", "y50", "e12", "e26", "sig", "g2", "l2", "g14", "l14", "a10", "a14", "pdm", "mdm", "adx", "dx_kept", "n_dx"]
+    seed = ["close"] * 5 + ["close - close"] + ["CAST(NULL AS DOUBLE)"] * 4 + ["true_range"] * 2 + ["0e0", "0e0", "CAST(NULL AS DOUBLE)", "1e0", "0"]
+    step = [
+        ew("g.close", "y10", a[10]), ew("g.close", "y20", a[20]), ew("g.close", "y50", a[50]), ew("g.close", "e12", a[12]), ew("g.close", "e26", a[26]), ew(line, "sig", a[9], "1"),
+        ew(gain, "g2", "5e-1", "g.step_gap"), ew(loss, "l2", "5e-1", "g.step_gap"), ew(gain, "g14", w14, "g.step_gap"), ew(loss, "l14", w14, "g.step_gap"),
+        ew("g.true_range", "a10", "1e-1"), atr, p, m,
+        f"CASE WHEN {dx} IS NULL THEN e.adx WHEN e.adx IS NULL THEN {dx} ELSE (e.dx_kept * e.adx + {w14} * {dx}) / (e.dx_kept + {w14}) END",
+        f"CASE WHEN {dx} IS NULL AND e.adx IS NOT NULL THEN e.dx_kept ELSE 1 END * (1 - {w14})",
+        f"e.n_dx + CASE WHEN {dx} IS NULL THEN 0 ELSE 1 END",
+    ]
+    rsi = {n: f"CASE WHEN n_steps >= {n} THEN CASE WHEN l{n} <> 0 THEN 100 - 100 / (1 + g{n} / l{n}) WHEN g{n} > 0 THEN 100 ELSE 50 END END AS rsi{n}" for n in (2, 14)}
     return f"""e AS (
-  SELECT ticker, i, close AS y10, close AS y20, close AS y50, close AS e12, close AS e26, 0e0 AS sig, 0e0 AS g2, 0e0 AS l2, 0e0 AS g14, 0e0 AS l14,
-    true_range AS a10, true_range AS a14, 0e0 AS pdm, 0e0 AS mdm, CAST(NULL AS DOUBLE) AS adx FROM frame WHERE i = 1
+  SELECT ticker, i, {", ".join(f"{x} AS {c}" for x, c in zip(seed, columns, strict=True))} FROM frame WHERE i = 1
   UNION ALL
-  SELECT g.ticker, g.i, {step('g.close', 'y10', a[10])}, {step('g.close', 'y20', a[20])}, {step('g.close', 'y50', a[50])}, {step('g.close', 'e12', a[12])}, {step('g.close', 'e26', a[26])},
-    {step(macd, 'sig', a[9])}, {wild(gain, 'g2', '5e-1')}, {wild(loss, 'l2', '5e-1')}, {wild(gain, 'g14', w14)}, {wild(loss, 'l14', w14)},
-    {step('g.true_range', 'a10', '1e-1')}, {step('g.true_range', 'a14', w14)}, {p}, {m},
-    CASE WHEN g.i < 14 THEN NULL WHEN g.i = 14 THEN {dx} ELSE {step(dx, 'adx', w14)} END
+  SELECT g.ticker, g.i, {", ".join(step)}
   FROM e JOIN frame g ON g.ticker = e.ticker AND g.i = e.i + 1),
-rec0 AS (SELECT f.*, CASE WHEN i >= 10 THEN y10 END AS ema10, CASE WHEN i >= 20 THEN y20 END AS ema20, CASE WHEN i >= 50 THEN y50 END AS ema50, y20 AS ema20_run, y50 AS ema50_run,
-  CASE WHEN i >= 3 THEN CASE WHEN l2 <> 0 THEN 100 - 100 / (1 + g2 / l2) WHEN g2 > 0 THEN 100 ELSE 50 END END AS rsi2,
-  CASE WHEN i >= 15 THEN CASE WHEN l14 <> 0 THEN 100 - 100 / (1 + g14 / l14) WHEN g14 > 0 THEN 100 ELSE 50 END END AS rsi14,
-  e12 - e26 AS macd, sig AS macd_signal, e12 - e26 - sig AS macd_hist, CASE WHEN i >= 10 THEN a10 END AS atr10, CASE WHEN i >= 14 THEN a14 END AS atr14, CASE WHEN i >= 27 THEN adx END AS adx
+rec0 AS (
+  SELECT f.*, CASE WHEN n_bars >= 10 THEN y10 END AS ema10, CASE WHEN n_bars >= 20 THEN y20 END AS ema20, CASE WHEN n_bars >= 50 THEN y50 END AS ema50, y20 AS ema20_run, y50 AS ema50_run,
+    {rsi[2]}, {rsi[14]}, e12 - e26 AS macd, sig AS macd_signal, e12 - e26 - sig AS macd_hist,
+    CASE WHEN n_bars >= 10 THEN a10 END AS atr10, CASE WHEN n_bars >= 14 THEN a14 END AS atr14, CASE WHEN n_dx >= 14 THEN adx END AS adx
   FROM frame f JOIN e USING (ticker, i)),
-rec AS (SELECT *, ema20 + 2 * atr10 AS keltner_up, ema20 - 2 * atr10 AS keltner_low,
-  CASE WHEN atr14 IS NOT NULL THEN max(close - 3 * atr14) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) END AS atr_stop FROM rec0)"""
+rec AS (
+  SELECT *, ema20 + 2 * atr10 AS keltner_up, ema20 - 2 * atr10 AS keltner_low,
+    CASE WHEN close - atr14 IS NOT NULL THEN max(close - 3 * atr14) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) END AS atr_stop FROM rec0)"""

@@ -142,12 +142,14 @@ def expected_returns(rets: DataFrame, halflife: int = 63) -> DataFrame:
     return rets.join(F.broadcast(last)).groupBy("ticker").agg((F.sum(F.col("ret") * w) / F.sum(w) * YEAR).alias("mu"))
 
 
-def shrunk_covariance(rets: DataFrame) -> DataFrame:
+def shrunk_covariance(rets: DataFrame, complete: bool = False) -> DataFrame:
     """O2: Ledoit-Wolf (2004) shrinkage towards the scaled identity, from complete dates; long (ticker, other, cov).
-    What the shrinkage needs of all pairs is one row of sums."""
-    width = rets.agg(F.count_distinct("ticker").alias("k"))
-    full = rets.groupBy("date").agg(F.count("*").alias("n")).join(F.broadcast(width)).filter("n = k").select("date")
-    own = rets.join(full, "date", "left_semi")
+    What the shrinkage needs of all pairs is one row of sums. `complete` says that rets holds complete dates only."""
+    own = rets
+    if not complete:
+        width = rets.agg(F.count_distinct("ticker").alias("k"))
+        full = rets.groupBy("date").agg(F.count("*").alias("n")).join(F.broadcast(width)).filter("n = k").select("date")
+        own = rets.join(full, "date", "left_semi")
     own = own.withColumn("x", F.col("ret") - F.avg("ret").over(Window.partitionBy("ticker"))).select("date", "ticker", "x")
     other = own.select("date", F.col("ticker").alias("other"), F.col("x").alias("y"))
     xy, same = F.col("x") * F.col("y"), F.col("ticker") == F.col("other")
@@ -158,7 +160,7 @@ def shrunk_covariance(rets: DataFrame) -> DataFrame:
     total = total.select("mu", F.when(F.col("beta") == 0, 0.0).otherwise(F.least(F.col("beta"), delta) / delta).alias("shrinkage"))
     shrink = F.col("shrinkage")
     cov = (1 - shrink) * F.col("s") + F.when(same, shrink * F.col("mu")).otherwise(0.0)
-    return sums.join(F.broadcast(total)).select("ticker", "other", (cov * YEAR).alias("cov"), "shrinkage")
+    return sums.join(F.broadcast(total)).select("ticker", "other", (cov * YEAR).alias("cov"), "shrinkage", "n")
 
 
 def trade_stats(trades: DataFrame, by: str = "run_id") -> DataFrame:

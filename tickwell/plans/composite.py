@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import interpret as say
-from ..operators import backtest, events, montecarlo, optimize, portfolio, risk, signals
+from ..operators import backtest, montecarlo, optimize, portfolio, risk, signals
 from ..sources import bars as src
-from .market import _MU, _SCORED, _SUMMARY, _UP, _DOWN, PROXIES, RETS, _frame, _mu, _rets
+from .market import _MU, _SCORED, _SUMMARY, _UP, _DOWN, PROXIES, RETS, _complete, _frame, _grid, _mu, _rets
 from .registry import ORACLES, QUERIES, query, r6, rounded, with_bars
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -188,10 +188,10 @@ _READ = {
 }
 
 
-@query("n17_readouts", with_bars(", h AS (SELECT *, lag(macd_hist) OVER (PARTITION BY ticker ORDER BY date) AS before FROM rec) SELECT ticker, date, " + ", ".join(f"{v} AS {k}" for k, v in _READ.items()) + " FROM h", "p_type", rec=True))
+@query("n17_readouts", with_bars(", h AS (SELECT *, lag(macd_hist) OVER (PARTITION BY ticker ORDER BY date) AS before FROM rec) SELECT ticker, date, " + ", ".join(f"{v} AS {k}" for k, v in _READ.items()) + " FROM h", "p_type", rec=True, own=True))
 def n17(spark, sf):
-    """N17 on every session."""
-    f = _frame(spark, sf).withColumn("before", F.lag("macd_hist").over(Window.partitionBy("ticker").orderBy("date")))
+    """N17 on every bar of every ticker."""
+    f = _frame(spark, sf, own=True).withColumn("before", F.lag("macd_hist").over(Window.partitionBy("ticker").orderBy("date")))
     read = {"rsi": say.rsi(c("rsi14")), "band": say.percent_b(c("pctb")), "vol": say.volume(c("rvol")), "macd": say.macd(c("macd_hist"), c("before"))}
     return f.select("ticker", "date", *[v["level"].alias(k) for k, v in read.items()])
 
@@ -215,12 +215,12 @@ _LOW, _HIGH = "(coalesce(rsi14 < 35, false) OR coalesce(pctb < 0.15, false) OR c
     with_bars(
         f""" SELECT ticker, date, CASE WHEN {_LOW} AND close > ema50_run THEN 'good' WHEN {_LOW} OR {_HIGH} THEN 'weak' ELSE 'ok' END AS level,
         CASE WHEN {_LOW} AND close > ema50_run THEN 'Buy zone' WHEN {_LOW} THEN 'Falling knife' WHEN {_HIGH} THEN 'Chasing' ELSE 'No rush' END AS label FROM rec""",
-        "p_type", rec=True,
+        "p_type", rec=True, own=True,
     ),
 )
 def n15(spark, sf):
     v = say.entry(c("rsi14"), c("pctb"), c("off_high"), c("close") > c("ema50_run"), F.lit(None).cast("int"))
-    return _frame(spark, sf).select("ticker", "date", v["level"].alias("level"), v["label"].alias("label"))
+    return _frame(spark, sf, own=True).select("ticker", "date", v["level"].alias("level"), v["label"].alias("label"))
 
 
 @query("n23_metric_info", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in say.METRICS.items()) + ") t(metric, meaning)")
@@ -232,27 +232,34 @@ def n23(spark, sf):
 
 
 def _market(spark: SparkSession, sf: str) -> DataFrame:
-    """Q1's table: the last session of each ticker with changes, readings and score."""
-    frame = _frame(spark, sf)
-    scores = signals.edge_scores(signals.features(frame)).select("ticker", "edge")
-    return _last(frame).join(scores, "ticker", "left").select("ticker", c("close").alias("last"), c("roc1").alias("chg1"), c("roc5").alias("chg5"), c("roc20").alias("chg20"), "rsi14", "rvol", "edge", c("dollar_volume").alias("dollar_vol"))
-
-
-_MARKET = _SCORED + ", m AS (SELECT l.ticker, l.close AS last, l.roc1 AS chg1, l.roc5 AS chg5, l.roc20 AS chg20, l.rsi14, l.rvol, sc.edge, l.dollar_volume AS dollar_vol FROM l LEFT JOIN sc USING (ticker) WHERE l.d = 1)"
+    """Q1's table: the panel's last session with changes, readings and score. The last price is the last one known; a
+    ticker that is not scored (no bar on the last session, or too few) has its price and one-session change only."""
+    frame = _frame(spark, sf, "p_brand").withColumn("prev", F.lag("close").over(Window.partitionBy("ticker").orderBy("date")))
+    scores = signals.edge_scores(signals.features(frame)).select("ticker", "edge", "roc5", "roc20", "rsi14", "rvol")
+    known = frame.groupBy("ticker").agg(F.max_by("close", F.when(c("close").isNotNull(), c("date"))).alias("last"))
+    now = _last(frame).select("ticker", "prev", c("dollar_volume").alias("dollar_vol")).join(known, "ticker").join(scores, "ticker", "left")
+    return now.select("ticker", "last", ((c("last") / c("prev") - 1) * 100).alias("chg1"), c("roc5").alias("chg5"), c("roc20").alias("chg20"), "rsi14", "rvol", "edge", "dollar_vol")
+
+
+_MARKET = _SCORED + (
+    ", pv AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prev FROM rec), kn AS (SELECT ticker, arg_max(close, date) AS last FROM bars GROUP BY 1), "
+    "m AS (SELECT l.ticker, kn.last, (kn.last / pv.prev - 1) * 100 AS chg1, sc.roc5 AS chg5, sc.roc20 AS chg20, sc.rsi14, sc.rvol, sc.edge, l.dollar_volume AS dollar_vol "
+    "FROM l JOIN kn USING (ticker) JOIN pv ON pv.ticker = l.ticker AND pv.date = l.date LEFT JOIN sc ON sc.ticker = l.ticker WHERE l.d = 1)"
+)
 _MARKET_COLUMNS = ("last", "chg1", "chg5", "chg20", "rsi14", "rvol", "edge", "dollar_vol")
 
 
-@query("q1_rows", with_bars(_MARKET + f" SELECT ticker, {r6(*_MARKET_COLUMNS)} FROM m", "p_type", rec=True))
+@query("q1_rows", with_bars(_MARKET + f" SELECT ticker, {r6(*_MARKET_COLUMNS)} FROM m", rec=True))
 def q1_rows(spark, sf):
     return rounded(_market(spark, sf))
 
 
-@query("u1_top_movers", with_bars(_MARKET + " SELECT ticker, round(chg1, 6) + 0 AS chg1 FROM m ORDER BY abs(chg1) DESC NULLS LAST, ticker LIMIT 4", "p_type", rec=True))
+@query("u1_top_movers", with_bars(_MARKET + " SELECT ticker, round(chg1, 6) + 0 AS chg1 FROM m ORDER BY abs(chg1) DESC NULLS LAST, ticker LIMIT 4", rec=True))
 def u1(spark, sf):
     return rounded(_market(spark, sf).orderBy(F.abs("chg1").desc_nulls_last(), "ticker").limit(4).select("ticker", "chg1"))
 
 
-@query("u2_breadth", with_bars(_MARKET + " SELECT round(avg(edge), 6) + 0 AS score, round(avg(CASE WHEN chg20 > 0 THEN 1e0 ELSE 0e0 END), 6) + 0 AS breadth, count(*) FILTER (edge >= 80) AS leaders FROM m", "p_type", rec=True))
+@query("u2_breadth", with_bars(_MARKET + " SELECT round(avg(edge), 6) + 0 AS score, round(avg(CASE WHEN chg20 > 0 THEN 1e0 ELSE 0e0 END), 6) + 0 AS breadth, count(*) FILTER (edge >= 80) AS leaders FROM m", rec=True))
 def u2(spark, sf):
     up = F.coalesce(c("chg20") > 0, F.lit(False)).cast("double")
     return rounded(_market(spark, sf).agg(F.avg("edge").alias("score"), F.avg(up).alias("breadth"), F.count(F.when(c("edge") >= 80, 1)).alias("leaders")))
@@ -264,7 +271,7 @@ def sorted_table(rows: DataFrame, column: str, descending: bool = True, most: in
     return rows.orderBy(order, "ticker").limit(most)
 
 
-@query("u3_sorted_table", with_bars(_MARKET + " SELECT ticker, round(rvol, 6) + 0 AS rvol, CAST(row_number() OVER (ORDER BY rvol ASC NULLS LAST, ticker) AS INT) AS place FROM m ORDER BY rvol ASC NULLS LAST, ticker LIMIT 500", "p_type", rec=True))
+@query("u3_sorted_table", with_bars(_MARKET + " SELECT ticker, round(rvol, 6) + 0 AS rvol, CAST(row_number() OVER (ORDER BY rvol ASC NULLS LAST, ticker) AS INT) AS place FROM m ORDER BY rvol ASC NULLS LAST, ticker LIMIT 500", rec=True))
 def u3(spark, sf):
     place = F.row_number().over(Window.orderBy(c("rvol").asc_nulls_last(), "ticker"))
     return rounded(sorted_table(_market(spark, sf), "rvol", False).select("ticker", "rvol", place.alias("place")))
@@ -276,11 +283,11 @@ def u3(spark, sf):
         _SCORED + """, sc5 AS (SELECT * FROM sc WHERE edge_raw IS NOT NULL ORDER BY edge_raw DESC, ticker LIMIT 5)
         SELECT ticker, round(edge, 6) + 0 AS edge, round(close, 6) + 0 AS entry, round(close - 1.5e0 * atr14, 6) + 0 AS stop, round(close + 3e0 * atr14, 6) + 0 AS target,
         round(150e0 * atr14 / close, 6) + 0 AS risk_pct, CASE WHEN momentum >= meanrev THEN '5-7' ELSE '2-4' END AS hold FROM sc5""",
-        "p_type", rec=True,
+        rec=True,
     ),
 )
 def x5_geometry(spark, sf):
-    return rounded(signals.trade_ideas(signals.edge_scores(signals.features(_frame(spark, sf)))).drop("weight", "dollars"))
+    return rounded(signals.trade_ideas(signals.edge_scores(signals.features(_frame(spark, sf, "p_brand")))).drop("weight", "dollars"))
 
 
 @query("q2_ideas")
@@ -301,10 +308,18 @@ def q2(spark, sf):
 _CHART = ("open", "high", "low", "close", "volume", "ema20_run", "ema50_run", "bb_up", "bb_low", "bb_mid", "rsi14", "macd", "macd_signal", "macd_hist", "volume_ma20", "rvol_lagged")
 
 
-@query("q3_chart", with_bars(f" SELECT date, {r6(*_CHART)} FROM rec WHERE ticker = '{ONE}'", "p_type", rec=True))
+@query("q3_chart", with_bars(f" SELECT date, {r6(*_CHART)} FROM rec WHERE ticker = '{ONE}'", "p_type", rec=True, own=True))
 def q3(spark, sf):
-    """Q3: candles and indicator lines of one ticker; the filter on the ticker reaches the bars."""
-    return rounded(_frame(spark, sf).filter(c("ticker") == ONE).select("date", *_CHART))
+    """Q3: candles and indicator lines of one ticker on its own bars; the filter on the ticker reaches the bars."""
+    return rounded(_frame(spark, sf, own=True).filter(c("ticker") == ONE).select("date", *_CHART))
+
+
+@query("q3_readouts", with_bars(", h AS (SELECT *, lag(macd_hist) OVER (PARTITION BY ticker ORDER BY date) AS before, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS d FROM rec) SELECT ticker, date, " + ", ".join(f"{v.replace('rvol', 'rvol_lagged')} AS {k}" for k, v in _READ.items()) + " FROM h WHERE d = 1", rec=True, own=True))
+def q3_readouts(spark, sf):
+    """Q3: the four readings of every ticker's last bar; volume is held against the days before it."""
+    f = _frame(spark, sf, "p_brand", own=True).withColumn("before", F.lag("macd_hist").over(Window.partitionBy("ticker").orderBy("date")))
+    read = {"rsi": say.rsi(c("rsi14")), "band": say.percent_b(c("pctb")), "vol": say.volume(c("rvol_lagged")), "macd": say.macd(c("macd_hist"), c("before"))}
+    return _last(f).select("ticker", "date", *[v["level"].alias(k) for k, v in read.items()])
 
 
 @query(
@@ -324,19 +339,21 @@ def q3_metrics(spark, sf):
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    frame = _frame(spark, sf)
-    span = frame.groupBy("ticker").agg(F.max("close").alias("year_high"), F.min("close").alias("year_low"))
-    beta = risk.summary(_rets(spark, sf, "p_type"), 20).select("ticker", "beta")
-    now = _last(frame).select("ticker", c("close").alias("last"), (c("atr14") / c("close") * 100).alias("atr_pct"), c("dollar_volume").alias("dollar_vol"))
-    return now.join(span, "ticker").join(beta, "ticker", "left")
+    """Prices and returns of each ticker's own bars; ATR and traded money at the panel's last session."""
+    bars = src.bars(spark, sf, "p_type")
+    span = bars.groupBy("ticker").agg(F.max("close").alias("year_high"), F.min("close").alias("year_low"), F.max_by("close", "date").alias("last"))
+    rets = risk.with_benchmark(src.returns(bars, "none")).select("ticker", "date", F.round("ret", 12).alias("ret"), F.round("bench", 12).alias("bench"))
+    beta = risk.summary(rets, 20).select("ticker", "beta")
+    now = _last(_frame(spark, sf)).select("ticker", "atr14", c("dollar_volume").alias("dollar_vol"))
+    return now.join(span, "ticker").join(beta, "ticker", "left").withColumn("atr_pct", c("atr14") / c("last") * 100).drop("atr14")
 
 
 @query(
     "q6_facts",
     with_bars(
-        LAST.format("rec") + """, sp AS (SELECT ticker, max(close) AS year_high, min(close) AS year_low FROM bars GROUP BY 1), rt AS (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM bars),
+        LAST.format("rec") + """, sp AS (SELECT ticker, max(close) AS year_high, min(close) AS year_low, arg_max(close, date) AS last FROM bars GROUP BY 1), rt AS (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM bars),
         be AS (SELECT a.ticker, covar_samp(round(a.ret, 12), round(b.ret, 12)) / var_samp(round(b.ret, 12)) AS beta FROM rt a JOIN rt b ON b.ticker = 'MKT' AND a.date = b.date WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1 HAVING count(*) >= 20),
-        fx AS (SELECT ticker, close AS last, atr14 / close * 100 AS atr_pct, dollar_volume AS dollar_vol, year_high, year_low, beta FROM l JOIN sp USING (ticker) LEFT JOIN be USING (ticker) WHERE d = 1) """
+        fx AS (SELECT ticker, last, atr14 / last * 100 AS atr_pct, dollar_volume AS dollar_vol, year_high, year_low, beta FROM l JOIN sp USING (ticker) LEFT JOIN be USING (ticker) WHERE d = 1) """
         + f"SELECT ticker, {r6('last', 'atr_pct', 'dollar_vol', 'year_high', 'year_low', 'beta')} FROM fx",
         "p_type", rec=True,
     ),
@@ -397,7 +414,7 @@ def forecast(spark: SparkSession, frame: DataFrame, earnings: DataFrame, ticker:
 @query("q5_forecast")
 def q5(spark, sf):
     """Q5 with M12, N15, N16 and N18; its parts m3 to m12 have SQL of their own."""
-    return rounded(forecast(spark, _frame(spark, sf), src.catalysts(spark, sf, "earnings", "p_type"), ONE))
+    return rounded(forecast(spark, _frame(spark, sf, own=True), src.catalysts(spark, sf, "earnings", "p_type"), ONE))
 
 
 # ---------------------------------------------------------------- backtests
@@ -449,19 +466,23 @@ def q8(spark, sf):
     bench = src.bars(spark, sf, "p_type").filter(c("ticker") == src.BENCHMARK).select("date", "close")
     rows = backtest.signal_trades(backtest.signal_runs(signals.strategy_signals(frame.filter(c("ticker") != src.BENCHMARK)), signals.STRATEGIES)).persist()
     runs = backtest_report(rows.filter("kind <> 'trade'").select("run_id", "date", "equity"), bench, rows.filter("kind = 'trade'").select("run_id", "pnl"))
-    rotation = backtest.rebalance(src.densify(src.bars(spark, sf, "p_type")).filter(c("ticker") != src.BENCHMARK)).select(F.lit("momentum").alias("run_id"), "date", "equity")
+    rotation = backtest.rebalance(_grid(spark, sf, "p_type").filter(c("ticker") != src.BENCHMARK)).select(F.lit("momentum").alias("run_id"), "date", "equity")
     return rounded(runs.unionByName(backtest_report(rotation, bench)))
 
 
 @query("q8_robustness")
 def q8_robustness(spark, sf):
     """1,000 reorderings of the rotation's own returns, if it has 40."""
-    curve = backtest.rebalance(src.densify(src.bars(spark, sf, "p_type")).filter(c("ticker") != src.BENCHMARK)).select("date", "ret")
+    curve = backtest.rebalance(_grid(spark, sf, "p_type").filter(c("ticker") != src.BENCHMARK)).select("date", "ret")
     pool = montecarlo.pool(curve)
     n = pool.count()
     if n < 40:
         return spark.createDataFrame([], "p05 double, p25 double, p50 double, p75 double, p95 double, prob_loss double, dd_median double, dd_worst5 double, prob_beat double, narrative string")
-    x = montecarlo.equity_confidence(montecarlo.paths(spark, pool, n, 1000, 5, 7), n, 100.0, 0.0)
+    # the benchmark held over the same dates: one row
+    held = src.bars(spark, sf, "p_type").filter(c("ticker") == src.BENCHMARK).join(curve.select("date"), "date", "left_semi")
+    total = held.agg((F.max_by("close", "date") / F.min_by("close", "date") - 1).alias("total")).first()["total"]
+    seed = montecarlo.seed_of("Momentum rotation:all", f"all:{n}")
+    x = montecarlo.equity_confidence(montecarlo.paths(spark, pool, n, 1000, 5, seed), n, 100.0, total)
     return rounded(x.withColumn("narrative", say.robustness(1000, {k: c(k) for k in ("p05", "p50", "p95", "prob_loss", "prob_beat")})))
 
 
@@ -537,32 +558,42 @@ def o11(spark, sf):
     return optimize.dollars(optimize.greedy_cap(_mu(spark, sf)[0], 0.4))
 
 
+def _chosen(spark: SparkSession, sf: str, n: int = 8) -> tuple[DataFrame, DataFrame]:
+    """O14's universe: the n tickers of the best scores (n names go to the driver), with mean returns and covariance of
+    the sessions on which all of them have a return."""
+    scored = signals.edge_scores(signals.features(_frame(spark, sf, "p_brand")).filter(c("ticker") != src.BENCHMARK))
+    names = [r["ticker"] for r in scored.orderBy(c("edge_raw").desc(), "ticker").limit(n).select("ticker").collect()]
+    rets = src.returns(_grid(spark, sf)).filter(c("ticker").isin(names)).select("ticker", "date", "session_i", "ret")
+    rets = rets.withColumn("_n", F.count("*").over(Window.partitionBy("date"))).filter(c("_n") == len(names)).drop("_n")
+    return risk.expected_returns(rets), risk.shrunk_covariance(rets, complete=True)
+
+
+@query("o8_frontier")
+def o8(spark, sf):
+    """Profiles and 25 frontier points of the eight best tickers."""
+    return rounded(optimize.solve(*_chosen(spark, sf)), 6)
+
+
+@query("o8_corner_portfolios")
+def o8_corners(spark, sf):
+    """The exact corners between which every efficient portfolio lies."""
+    return rounded(optimize.corners(*_chosen(spark, sf)), 6)
+
+
 @query("q9_optimize")
 def q9(spark, sf):
-    """Four profiles with weights above 0.005, dollars, statistics and summary; at least two tickers and 60
-    complete sessions are asked for."""
-    mu, cov = _mu(spark, sf)
-    cov = cov.select("ticker", "other", "cov").persist()
-    mu = mu.persist()
-    if mu.count() < 2:
-        raise ValueError("at least two tickers with data are needed")
-    if src.returns(src.bars(spark, sf, "p_type")).filter(c("ticker") != src.BENCHMARK).groupBy("date").count().count() < 60:
-        raise ValueError("at least 60 sessions are needed")
-    delta = _delta(src.returns(src.bars(spark, sf, "p_type")).filter(c("ticker") == src.BENCHMARK)).first()["delta"]
-    posterior = optimize.posterior(mu, cov, delta)
-    named = optimize.solve(mu, cov, rf=0.04, points=0).select("profile", "ticker", "weight")
-    weights = named.union(optimize.solve(posterior, cov, rf=0.04, points=0).filter("profile = 'max_sharpe'").select(F.lit("anchored"), "ticker", "weight")).persist()
-    gains = mu.select("ticker", "mu", F.lit(False).alias("late")).union(posterior.select("ticker", "mu", F.lit(True)))
-    gain = weights.join(gains, ["ticker"]).filter((c("profile") == "anchored") == c("late")).groupBy("profile").agg(F.sum(c("weight") * c("mu")).alias("ret"), (F.max("mu") <= 0.04).alias("fell_back"))
-    other = weights.select("profile", c("ticker").alias("other"), c("weight").alias("v"))
-    vol = weights.join(cov, "ticker").join(other, ["profile", "other"]).groupBy("profile").agg(F.sqrt(F.sum(c("cov") * c("weight") * c("v"))).alias("vol"))
-    money = weights.withColumn("d", F.bround(c("weight") * 100, 2)).filter("d >= 1")
+    """Four profiles of the eight best tickers with weights above 0.005, dollars, statistics and summary; two
+    tickers and 60 complete sessions are asked for, else the query fails with a message."""
+    mu, cov = _chosen(spark, sf)
+    delta = _delta(src.returns(_grid(spark, sf)).filter(c("ticker") == src.BENCHMARK))
+    told = optimize.profiles(mu, cov, delta, rf=0.04, least=60)
+    money = told.withColumn("d", F.bround(c("weight") * 100, 2)).filter("d >= 1")
     money = money.select("profile", "ticker", F.bround(c("d") / F.sum("d").over(Window.partitionBy("profile")) * 100, 2).alias("dollars"))
-    top = money.groupBy("profile").agg(F.max_by("ticker", F.struct("dollars", "ticker")).alias("top"), F.max("dollars").alias("top_dollars"))
-    told = gain.join(vol, "profile").join(top, "profile", "left").withColumn("sharpe", (c("ret") - 0.04) / c("vol"))
-    told = told.withColumn("summary", say.optimizer_summary(c("ret"), c("vol"), c("sharpe"), c("top"), c("top_dollars"), c("fell_back") & c("profile").isin("max_sharpe", "anchored")))
-    out = weights.filter("weight > 0.005").join(money, ["profile", "ticker"], "left").join(told.select("profile", "ret", "vol", "sharpe", "summary"), "profile")
-    return rounded(out.select("profile", "ticker", "weight", "dollars", "ret", "vol", "sharpe", "summary"), 4)
+    out = told.join(money, ["profile", "ticker"], "left")
+    every = Window.partitionBy("profile")
+    top = F.max(F.struct("dollars", "ticker")).over(every)
+    out = out.withColumn("summary", say.optimizer_summary(c("ret"), c("vol"), c("sharpe"), top["ticker"], top["dollars"], c("fell_back")))
+    return rounded(out.filter("weight > 0.005").select("profile", "ticker", "weight", "dollars", "ret", "vol", "sharpe", "delta", "summary"), 4)
 
 
 @query("q10_risk", with_bars(_SUMMARY + f" SELECT ticker, {r6('vol', 'sharpe', 'beta', 'max_dd')}, " + ", ".join(f"{_case(_LEVELS[k][0], *_LEVELS[k][1:3])} AS {k}_level" for k in ("beta", "sharpe")) + " FROM rs ORDER BY sharpe DESC NULLS LAST, ticker"))
@@ -611,12 +642,3 @@ def u5(spark, sf):
         state, cash = portfolio.buy(state, cash, r["ticker"], 20.0 / r["last"], r["last"])
     held = portfolio.valuation(state, last.select("ticker", (c("last") * 1.1).alias("last"))).agg(F.sum("value").alias("v"))
     return rounded(held.select((F.lit(cash) + c("v")).alias("total"), (F.lit(cash - portfolio.CASH) + c("v")).alias("pnl")))
-
-
-# ---------------------------------------------------------------- events
-
-
-@query("v1_pvalue")
-def v1(spark, sf):
-    """V1 on a grid of scores (SQL has no error function; tests hold the values)."""
-    return spark.range(0, 61).select((c("id") / 10.0).alias("z")).withColumn("pvalue", events.two_sided_pvalue("z"))

@@ -11,15 +11,21 @@ from ..sources import bars as src
 from .registry import ORACLES, QUERIES, query, r6, rounded, with_bars
 
 __all__ = ["ORACLES", "QUERIES"]
-RETS = ", rets AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM bars), b AS (SELECT date, ret AS bench FROM rets WHERE ticker = 'MKT'), rb AS (SELECT r.ticker, r.date, round(r.ret, 12) AS ret, round(b.bench, 12) AS bench FROM rets r JOIN b USING (date) WHERE r.ret IS NOT NULL AND b.bench IS NOT NULL)"
+RETS = ", pad AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS padded FROM grid), rets AS (SELECT *, padded / lag(padded) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM pad), b AS (SELECT date, ret AS bench FROM rets WHERE ticker = 'MKT'), rb AS (SELECT r.ticker, r.date, round(r.ret, 12) AS ret, round(b.bench, 12) AS bench FROM rets r JOIN b USING (date) WHERE r.ret IS NOT NULL AND b.bench IS NOT NULL)"
+
+
+def _grid(spark: SparkSession, sf: str, key: str = "p_brand") -> DataFrame:
+    return src.densify(src.bars(spark, sf, key))
 
 
 def _rets(spark: SparkSession, sf: str, key: str = "p_brand") -> DataFrame:
-    return risk.with_benchmark(src.returns(src.bars(spark, sf, key))).filter("ret IS NOT NULL AND bench IS NOT NULL").select("ticker", "date", F.round("ret", 12).alias("ret"), F.round("bench", 12).alias("bench"))
+    """Returns on the session grid beside the benchmark's; a session without a bar has the return 0."""
+    return risk.with_benchmark(src.returns(_grid(spark, sf, key))).filter("ret IS NOT NULL AND bench IS NOT NULL").select("ticker", "date", F.round("ret", 12).alias("ret"), F.round("bench", 12).alias("bench"))
 
 
-def _frame(spark: SparkSession, sf: str, key: str = "p_type") -> DataFrame:
-    return ewm.indicator_frame(src.bars(spark, sf, key))
+def _frame(spark: SparkSession, sf: str, key: str = "p_type", own: bool = False) -> DataFrame:
+    """The indicator frame on the session grid, or on each ticker's own bars."""
+    return ewm.indicator_frame(src.bars(spark, sf, key) if own else _grid(spark, sf, key))
 
 
 @query("s1_bars", with_bars(f" SELECT ticker, date, {r6('open', 'high', 'low', 'close', 'volume')} FROM bars"))
@@ -34,25 +40,16 @@ def s2(spark, sf):
 
 @query("s3_daily_returns", with_bars(RETS + f" SELECT ticker, date, {r6('ret')} FROM rets WHERE ret IS NOT NULL"))
 def s3(spark, sf):
-    return rounded(src.returns(src.bars(spark, sf)).select("ticker", "date", "ret"))
+    return rounded(src.returns(_grid(spark, sf)).select("ticker", "date", "ret"))
 
 
 for _t, _cols in {"s5_earnings": "ticker, date", "s6_actions": "ticker, date, dividend, split", "s7_news": "ticker, date, title"}.items():
     query(_t, with_bars(f", {src.CATALYSTS} SELECT {_cols} FROM {_t[3:]}"))(lambda spark, sf, t=_t, c=_cols: src.catalysts(spark, sf, t[3:]).select(*c.split(", ")))
 
 
-@query("d3_densify", with_bars(", s AS (SELECT date, row_number() OVER (ORDER BY date) AS session_i FROM (SELECT DISTINCT date FROM bars)) SELECT t.ticker, s.date, CAST(s.session_i AS INT) AS session_i, round(b.close, 6) + 0 AS close FROM (SELECT DISTINCT ticker FROM bars) t CROSS JOIN s LEFT JOIN bars b ON b.ticker = t.ticker AND b.date = s.date"))
+@query("d3_densify", with_bars(f" SELECT ticker, date, session_i, {r6('close')} FROM grid"))
 def d3(spark, sf):
-    return rounded(src.densify(src.bars(spark, sf)).select("ticker", "date", "session_i", "close"))
-
-
-@query("p3_last_prices", with_bars(", l AS (SELECT ticker, max(date) AS date, arg_max(close, date) AS close FROM bars GROUP BY 1), q AS (SELECT event_type AS e, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY ticker) AS k FROM l), m AS (SELECT *, row_number() OVER (ORDER BY e) AS k FROM q) SELECT ticker, round(coalesce(last, close), 6) + 0 AS price, date AS as_of FROM n LEFT JOIN m USING (k)"))
-def p3(spark, sf):
-    """The live quote where there is one, else the last close."""
-    last = src.bars(spark, sf).groupBy("ticker").agg(F.max("date").alias("as_of"), F.max_by("close", "date").alias("close"))
-    quotes = src.latest_quotes(spark.read.parquet(f"{sf}/events.parquet")).select("last", F.row_number().over(Window.orderBy("ticker")).alias("k"))
-    named = last.withColumn("k", F.row_number().over(Window.orderBy("ticker")))
-    return rounded(named.join(quotes, "k", "left").select("ticker", F.coalesce("last", "close").alias("price"), "as_of"))
+    return rounded(_grid(spark, sf).select("ticker", "date", "session_i", "close"))
 
 
 @query("p9_sparkline", with_bars(" SELECT ticker, date, round(close, 6) + 0 AS close FROM bars QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 30"))
@@ -68,13 +65,6 @@ def p10(spark, sf):
     return wanted.join(src.bars(spark, sf).select("ticker").distinct(), "ticker", "left_anti")
 
 
-@query("p10_all_missing", with_bars(" SELECT DISTINCT p_name AS ticker FROM part WHERE p_name NOT IN (SELECT ticker FROM bars)"))
-def p10_all(spark, sf):
-    """The same under the name of the first round."""
-    wanted = spark.read.parquet(f"{sf}/part.parquet").filter("p_name IS NOT NULL").select(F.col("p_name").alias("ticker")).distinct()
-    return wanted.join(src.bars(spark, sf).select("ticker").distinct(), "ticker", "left_anti")
-
-
 @query("w24_rolling_beta", with_bars(RETS + ", w AS (SELECT ticker, date, covar_samp(ret, bench) OVER k / nullif(var_pop(bench) OVER k, 0) AS beta, count(ret) OVER k AS n FROM rb WINDOW k AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) SELECT ticker, date, round(beta, 6) + 0 AS beta FROM w WHERE n = 63 AND beta IS NOT NULL"))
 def w24(spark, sf):
     return rounded(risk.rolling_beta(_rets(spark, sf)))
@@ -103,38 +93,38 @@ _SCORED = (
 )
 
 
-@query("x2_features", with_bars(_SCORED + f" SELECT ticker, date, {r6(*signals.FEATURES)} FROM f", "p_type", rec=True))
+@query("x2_features", with_bars(_SCORED + f" SELECT ticker, date, {r6(*signals.FEATURES)} FROM f", rec=True))
 def x2(spark, sf):
-    return rounded(signals.features(_frame(spark, sf)).select("ticker", "date", *signals.FEATURES))
+    return rounded(signals.features(_frame(spark, sf, "p_brand")).select("ticker", "date", *signals.FEATURES))
 
 
-@query("x3_edge_scores", with_bars(_SCORED + f" SELECT ticker, date, {r6('momentum', 'trend', 'meanrev', 'volume_score', 'edge_raw', 'edge')} FROM sc", "p_type", rec=True))
+@query("x3_edge_scores", with_bars(_SCORED + f" SELECT ticker, date, {r6('momentum', 'trend', 'meanrev', 'volume_score', 'edge_raw', 'edge')} FROM sc", rec=True))
 def x3(spark, sf):
-    return rounded(signals.edge_scores(signals.features(_frame(spark, sf))).select("ticker", "date", "momentum", "trend", "meanrev", "volume_score", "edge_raw", "edge"))
+    return rounded(signals.edge_scores(signals.features(_frame(spark, sf, "p_brand"))).select("ticker", "date", "momentum", "trend", "meanrev", "volume_score", "edge_raw", "edge"))
 
 
 @query("x1_zscore", with_bars(f", z AS (SELECT ticker, date, {_z('roc5', 'PARTITION BY date')} AS z FROM frame) SELECT ticker, date, round(z, 6) + 0 AS z FROM z WHERE z IS NOT NULL", frame=True))
 def x1(spark, sf):
     from ..functions.indicators import finite_frame
 
-    return rounded(finite_frame(src.bars(spark, sf)).select("ticker", "date", signals.zscore(F.col("roc5")).alias("z")).filter("z IS NOT NULL"))
+    return rounded(finite_frame(_grid(spark, sf)).select("ticker", "date", signals.zscore(F.col("roc5")).alias("z")).filter("z IS NOT NULL"))
 
 
 @query("x5_trade_ideas")
 def x5(spark, sf):
-    return rounded(signals.trade_ideas(signals.edge_scores(signals.features(_frame(spark, sf)).filter("ticker <> 'MKT'"))))
+    return rounded(signals.trade_ideas(signals.edge_scores(signals.features(_frame(spark, sf, "p_brand")).filter("ticker <> 'MKT'"))))
 
 
 @query("x6_top_per_date", with_bars(" SELECT ticker, date, CAST(rank AS INT) AS rank, round(1e0 / count(*) OVER (PARTITION BY date), 6) + 0 AS weight FROM (SELECT ticker, date, row_number() OVER (PARTITION BY date ORDER BY roc20 DESC, ticker) AS rank FROM frame WHERE roc20 IS NOT NULL) WHERE rank <= 5", frame=True))
 def x6(spark, sf):
     from ..functions.indicators import finite_frame
 
-    return rounded(signals.top_per_date(finite_frame(src.bars(spark, sf)), "roc20", 5).select("ticker", "date", "rank", "weight"))
+    return rounded(signals.top_per_date(finite_frame(_grid(spark, sf)), "roc20", 5).select("ticker", "date", "rank", "weight"))
 
 
-@query("x7_top8", with_bars(_SCORED + " SELECT ticker, round(edge, 6) + 0 AS edge FROM sc ORDER BY edge_raw DESC, ticker LIMIT 8", "p_type", rec=True))
+@query("x7_top8", with_bars(_SCORED + " SELECT ticker, round(edge, 6) + 0 AS edge FROM sc ORDER BY edge_raw DESC, ticker LIMIT 8", rec=True))
 def x7(spark, sf):
-    return rounded(signals.edge_scores(signals.features(_frame(spark, sf))).orderBy(F.desc("edge_raw"), "ticker").limit(8).select("ticker", "edge"))
+    return rounded(signals.edge_scores(signals.features(_frame(spark, sf, "p_brand"))).orderBy(F.desc("edge_raw"), "ticker").limit(8).select("ticker", "edge"))
 
 
 _W = "OVER (PARTITION BY ticker ORDER BY date)"
@@ -157,11 +147,12 @@ def g10(spark, sf):
 
 
 def _rebalance(spark, sf):
-    return backtest.rebalance(src.densify(src.bars(spark, sf, "p_type")).filter("ticker <> 'MKT'"))
+    return backtest.rebalance(_grid(spark, sf, "p_type").filter("ticker <> 'MKT'"))
 
 
 _REBALANCE = (
-    ", s AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, close / lag(close, 20) " + _W + " - 1 AS score, coalesce(close / lag(close) " + _W + " - 1, 0) AS ret FROM bars WHERE ticker <> 'MKT'), "
+    ", pad AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS padded FROM grid WHERE ticker <> 'MKT'), "
+    "s AS (SELECT *, session_i AS i, padded / lag(padded, 20) " + _W + " - 1 AS score, coalesce(padded / lag(padded) " + _W + " - 1, 0) AS ret FROM pad), "
     "p AS (SELECT ticker, (i - 22) // 5 AS rnd, row_number() OVER (PARTITION BY i ORDER BY score DESC, ticker) AS k FROM s WHERE i > 21 AND (i - 22) % 5 = 0 AND score IS NOT NULL), "
     "pw AS (SELECT ticker, rnd, 1e0 / count(*) OVER (PARTITION BY rnd) AS w FROM p WHERE k <= 5), "
     "g AS (SELECT s.i, sum(w * ret) AS gross FROM s JOIN pw ON pw.ticker = s.ticker AND pw.rnd = floor((s.i - 23) / 5e0) WHERE s.i > 21 GROUP BY s.i), "
@@ -269,14 +260,21 @@ def f6(spark, sf):
     return risk.sector_allocation(v, sectors)
 
 
+def _complete(rets: DataFrame) -> DataFrame:
+    """Sessions on which every ticker has a return; what tells them is one row for each session."""
+    width = rets.agg(F.count_distinct("ticker").alias("k"))
+    full = rets.groupBy("date").agg(F.count("*").alias("n")).join(F.broadcast(width)).filter("n = k").select("date")
+    return rets.join(full, "date", "left_semi")
+
+
 def _mu(spark, sf):
-    rets = src.returns(src.bars(spark, sf, "p_type")).filter("ticker <> 'MKT'")
-    dense = rets.withColumn("session_i", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
-    return risk.expected_returns(dense), risk.shrunk_covariance(rets.select("ticker", "date", "ret"))
+    """O1 and O2 of all tickers: on complete sessions, ages in sessions."""
+    rets = _complete(src.returns(_grid(spark, sf, "p_type")).filter("ticker <> 'MKT'"))
+    return risk.expected_returns(rets), risk.shrunk_covariance(rets.select("ticker", "date", "ret"), complete=True)
 
 
 _MU = (
-    RETS + ", k AS (SELECT ticker, date, ret, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM rets WHERE ret IS NOT NULL AND ticker <> 'MKT'), mu AS (SELECT ticker, sum(ret * power(0.5e0, (m - i) / 63e0)) / sum(power(0.5e0, (m - i) / 63e0)) * 252 AS mu FROM k, (SELECT max(i) AS m FROM k) GROUP BY 1), "
+    RETS + ", k0 AS (SELECT ticker, date, ret, session_i AS i FROM rets WHERE ret IS NOT NULL AND ticker <> 'MKT'), k AS (SELECT * FROM k0 WHERE date IN (SELECT date FROM k0 GROUP BY date HAVING count(*) = (SELECT count(DISTINCT ticker) FROM k0))), mu AS (SELECT ticker, sum(ret * power(0.5e0, (m - i) / 63e0)) / sum(power(0.5e0, (m - i) / 63e0)) * 252 AS mu FROM k, (SELECT max(i) AS m FROM k) GROUP BY 1), "
     "x AS (SELECT ticker, date, ret - avg(ret) OVER (PARTITION BY ticker) AS x FROM k), cs AS (SELECT a.ticker, b.ticker AS other, avg(a.x * b.x) AS s, avg(power(a.x * b.x, 2)) AS q, count(*) AS n FROM x a JOIN x b USING (date) GROUP BY 1, 2), "
     "pr AS (SELECT count(DISTINCT ticker)::DOUBLE AS p, sum(s) FILTER (ticker = other) / count(DISTINCT ticker) AS m, sum(s * s) AS sq, sum(q) AS qq, max(n) AS n FROM cs), "
     "sh AS (SELECT *, least((qq - sq) / (p * n), (sq - p * m * m) / p) / ((sq - p * m * m) / p) AS d FROM pr), cv AS (SELECT ticker, other, ((1 - d) * s + CASE WHEN ticker = other THEN d * m ELSE 0 END) * 252 AS cov FROM cs, sh)"
@@ -310,17 +308,11 @@ def o9(spark, sf):
     return rounded(optimize.implied_returns(cov, mu.select("ticker", (1.0 / F.count("*").over(Window.partitionBy())).alias("weight"))))
 
 
-@query("o8_frontier")
-def o8(spark, sf):
-    mu, cov = _mu(spark, sf)
-    return rounded(optimize.solve(mu, cov.select("ticker", "other", "cov")), 4)
-
-
 _POOL = RETS + ", pool AS (SELECT ret, row_number() OVER (ORDER BY date) - 1 AS k FROM rets WHERE ticker = 'MKT' AND ret IS NOT NULL), nn AS (SELECT count(*) AS n FROM pool), st AS (SELECT path, b, CAST(floor(('0x' || substr(md5('7:' || path || ':' || b), 1, 12))::BIGINT / 281474976710656e0 * n) AS BIGINT) AS s FROM range(2000) p(path), range(5) q(b), nn), sp AS (SELECT path, b * 5 + o + 1 AS day, (s + o) % n AS k FROM st, range(5) r(o), nn WHERE b * 5 + o + 1 <= 21), pa AS (SELECT path, day, product(1 + ret) OVER (PARTITION BY path ORDER BY day) AS growth FROM sp JOIN pool USING (k) UNION ALL SELECT path, 0, 1e0 FROM range(2000) p(path))"
 
 
 def _paths(spark, sf):
-    rets = src.returns(src.bars(spark, sf)).filter("ticker = 'MKT'")
+    rets = src.returns(src.bars(spark, sf), "none").filter("ticker = 'MKT'")
     return montecarlo.paths(spark, montecarlo.pool(rets), 21, 2000, 5, 7)
 
 
@@ -354,55 +346,57 @@ def m9(spark, sf):
     return rounded(montecarlo.dip_buy(_paths(spark, sf), 0.02, 0.03, 0.03))
 
 
-def _whole_paths(spark, sf):
-    """21 sessions on as many paths as the reference draws for a forecast."""
-    rets = src.returns(src.bars(spark, sf)).filter("ticker = 'MKT'")
-    return montecarlo.paths(spark, montecarlo.pool(rets), 21, 2000, 5, 7)
+@query("m7_equity_confidence_history")
+def m7_whole(spark, sf):
+    """M7 as the reference draws it: 1,000 paths as long as the series of returns."""
+    pool = montecarlo.pool(src.returns(src.bars(spark, sf), "none").filter("ticker = 'MKT'"))
+    n = pool.count()
+    return rounded(montecarlo.equity_confidence(montecarlo.paths(spark, pool, n, 1000, 5, 7), n, 100.0, 0.01))
 
 
-@query("m3_fan_bands_2000")
-def m3_whole(spark, sf):
-    return rounded(montecarlo.fan_bands(_whole_paths(spark, sf)).withColumn("day", F.col("day").cast("int")))
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    bars = src.bars(spark, sf)
+    own = bars.filter("ticker <> 'MKT'")
+    return events.attribute(events.moves(events.significance(own)), own, src.catalyst_marks(spark, sf), events.market_scores(bars))
 
 
-@query("m4_summarize_2000")
-def m4_whole(spark, sf):
-    return rounded(montecarlo.summarize(_whole_paths(spark, sf), 21))
+_EVENTS = f", {src.CATALYSTS}, {events.oracle_ctes()}"
 
 
-@query("m5_dip_probabilities_2000")
-def m5_whole(spark, sf):
-    return rounded(montecarlo.dip_probabilities(_whole_paths(spark, sf), [0.02, 0.05, 0.1]))
+@query("v2_move_significance", with_bars(_EVENTS + f" SELECT ticker, date, {r6('ret', 'z', 'pvalue', 'rvol')}, direction FROM events"))
+def v2(spark, sf):
+    """V1, V2: moves beyond 2.5 prior deviations and one percent, with their p-values."""
+    found = events.moves(events.significance(src.bars(spark, sf).filter("ticker <> 'MKT'")))
+    return rounded(found.select("ticker", "date", "ret", "z", "pvalue", "rvol", "direction"))
 
 
-@query("m6_best_entry_2000")
-def m6_whole(spark, sf):
-    return rounded(montecarlo.best_entry(_whole_paths(spark, sf)))
+@query("v3_market_scores", with_bars(_EVENTS + f" SELECT date, {r6('bench_ret', 'bench_z')} FROM market"))
+def v3(spark, sf):
+    return rounded(events.market_scores(src.bars(spark, sf)).select("date", "bench_ret", "bench_z"))
 
 
-@query("m7_equity_confidence_history")
-def m7_whole(spark, sf):
-    """M7 as the reference draws it: 1,000 paths as long as the series of returns."""
-    pool = montecarlo.pool(src.returns(src.bars(spark, sf)).filter("ticker = 'MKT'"))
-    n = pool.count()
-    return rounded(montecarlo.equity_confidence(montecarlo.paths(spark, pool, n, 1000, 5, 7), n, 100.0, 0.01))
+@query("v5_attribute_events", with_bars(_EVENTS + f" SELECT ticker, date, {r6('ret', 'z', 'pvalue', 'rvol', 'bench_ret')}, direction, market_move, catalyst, earnings_date, CAST(to_json(headlines) AS VARCHAR) AS headlines FROM events"))
+def v5(spark, sf):
+    """V4, V5: the events with their catalysts."""
+    told = _events(spark, sf)
+    return rounded(told.select("ticker", "date", "ret", "z", "pvalue", "rvol", "bench_ret", "direction", "market_move", "catalyst", "earnings_date", F.to_json("headlines").alias("headlines")))
 
 
-@query("m9_dip_buy_2000")
-def m9_whole(spark, sf):
-    return rounded(montecarlo.dip_buy(_whole_paths(spark, sf), 0.02, 0.03, 0.03))
+@query("q4_events", with_bars(_EVENTS + """ SELECT ticker, date, catalyst, CASE WHEN direction = 'up' THEN 'belowBar' ELSE 'aboveBar' END AS position, CASE WHEN direction = 'up' THEN 'arrowUp' ELSE 'arrowDown' END AS shape,
+    CAST(row_number() OVER (ORDER BY date DESC, ticker) AS INT) AS place FROM events"""))
+def q4(spark, sf):
+    """V6, Q4: newest first, with how each is drawn; place is the row's place in that order (one row for each event)."""
+    place = F.row_number().over(Window.orderBy(F.desc("date"), "ticker"))
+    return events.api_events(_events(spark, sf)).select("ticker", "date", "catalyst", "marker.position", "marker.shape", place.alias("place"))
 
 
-@query("v5_attribute_events")
-def v5(spark, sf):
-    """V1 to V6 with the stories of N13 and N14."""
-    frame = ewm.indicator_frame(src.bars(spark, sf))
-    sessions = frame.select("date").distinct().withColumn("session_i", F.row_number().over(Window.orderBy("date")))
-    found = events.moves(frame.join(F.broadcast(sessions), "date").filter("ticker <> 'MKT'"))
-    cats = [src.catalysts(spark, sf, t) for t in ("earnings", "actions", "news")]
-    told = events.attribute(found, sessions, *cats, events.market_scores(frame)).withColumn("pvalue", events.two_sided_pvalue("z"))
-    story = say.event_story(F.col("ticker"), F.col("ret"), F.col("catalyst"), F.col("pvalue"), F.col("rvol"))
-    return rounded(told.select("ticker", "date", "ret", "z", "pvalue", "rvol", "direction", "market_move", "bench_ret", "catalyst", "earnings_date", F.to_json("headlines").alias("headlines"), story.alias("story")))
+@query("q4_stories")
+def q4_stories(spark, sf):
+    """The events told in words, newest first."""
+    told = events.api_events(_events(spark, sf))
+    c = F.col
+    story = say.event_story(c("ticker"), c("ret"), c("z"), c("catalyst"), c("pvalue"), c("rvol"), F.when(F.size("headlines") > 0, c("headlines")[0]["title"]), c("market_move"), c("bench_ret"))
+    return told.select("ticker", "date", c("marker.text").alias("marker"), story["title"].alias("title"), story["label"].alias("label"), story["story"].alias("story"))
 
 
 @query("n_risk_verdicts")

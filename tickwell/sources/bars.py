@@ -58,24 +58,49 @@ def catalysts(spark: SparkSession, sf_dir: str, table: str, key: str = "p_brand"
     return _read(spark, sf_dir, bars_ctes(key, grain, "{lineitem}", "{part}") + ",\n" + CATALYSTS, table)
 
 
-def known_tickers(panel: DataFrame) -> DataFrame:
-    """Without tickers that never have a close."""
-    good = panel.groupBy("ticker").agg(F.max("close").alias("c")).filter("c IS NOT NULL").select("ticker")
-    return panel.join(good, "ticker", "left_semi")
+def catalyst_marks(spark: SparkSession, sf_dir: str, key: str = "p_brand", grain: str = "week") -> DataFrame:
+    """S5 to S7 in one table and one pass: (ticker, date, kind, dividend, split, title) with kind earnings, action or
+    news."""
+    agg = _read(spark, sf_dir, bars_ctes(key, grain, "{lineitem}", "{part}"), "agg").filter(F.col("ticker") != BENCHMARK)
+    dividend, split = F.when(F.col("tax") % 17 == 0, 0.25).otherwise(0.0), F.when(F.col("tax") % 29 == 0, 2.0).otherwise(0.0)
+    none, zero = F.lit(None).cast("string"), F.lit(0.0)
+    mark = lambda kind, d, s, t: F.struct(F.lit(kind).alias("kind"), d.alias("dividend"), s.alias("split"), t.alias("title"))
+    found = F.array(
+        F.when(F.col("disc") % 13 == 0, mark("earnings", zero, zero, none)),
+        F.when((dividend != 0) | (split != 0), mark("action", dividend, split, none)),
+        F.when(F.col("qty") % 11 == 0, mark("news", zero, zero, F.concat(F.lit("Headline "), F.col("qty").cast("string")))),
+    )
+    return agg.select("ticker", "date", F.inline(F.filter(found, lambda x: x.isNotNull())))
 
 
 def densify(panel: DataFrame) -> DataFrame:
     """D3: every ticker on every session of the union calendar, with session_i; missing bars are null.
-    The calendar is one row for each session, so numbering it is a small single-partition window."""
-    sessions = panel.select("date").distinct().withColumn("session_i", F.row_number().over(Window.orderBy("date")))
-    calendar = sessions.agg(F.sort_array(F.collect_list(F.struct("date", "session_i"))).alias("days"))
-    tickers = panel.select("ticker").distinct()
-    grid = tickers.join(F.broadcast(calendar)).select("ticker", F.inline("days"))
-    return grid.join(panel, ["ticker", "date"], "left")
-
 
-def returns(panel: DataFrame, fill: str = "none") -> DataFrame:
-    """S3: daily returns; fill='pad' carries the last close over gaps."""
+    The calendar is one array of all sessions and is broadcast; each bar also makes the missing rows up to the ticker's
+    next one, so the grid needs no join by ticker and date, and stays partitioned by ticker for the windows to come."""
+    calendar = panel.agg(F.sort_array(F.collect_set("date")).alias("_days"))
+    at = panel.join(F.broadcast(calendar)).withColumn("_at", F.array_position("_days", F.col("date")).cast("int"))
+    w = Window.partitionBy("ticker").orderBy("date")
+    begin = F.when(F.lag("_at").over(w).isNull(), F.lit(1)).otherwise(F.col("_at"))
+    end = F.coalesce(F.lead("_at").over(w) - 1, F.size("_days"))
+    rows = at.withColumn("_begin", begin).withColumn("_end", end).withColumn("session_i", F.explode(F.sequence("_begin", "_end")))
+    there = F.col("session_i") == F.col("_at")
+    values = [F.when(there, F.col(c)).alias(c) for c in panel.columns if c not in ("ticker", "date")]
+    return rows.select("ticker", F.get("_days", F.col("session_i") - 1).alias("date"), "session_i", *values)
+
+
+#: The grid in SQL, on a CTE bars.
+GRID = """sessions AS (SELECT date, CAST(row_number() OVER (ORDER BY date) AS INT) AS session_i FROM (SELECT DISTINCT date FROM bars)),
+grid AS (
+  SELECT t.ticker, s.date, s.session_i, b.open, b.high, b.low, b.close, b.volume
+  FROM (SELECT DISTINCT ticker FROM bars) t CROSS JOIN sessions s LEFT JOIN bars b ON b.ticker = t.ticker AND b.date = s.date)"""
+
+
+def returns(panel: DataFrame, fill: str = "pad") -> DataFrame:
+    """S3: returns from session to session; fill='pad' carries the last close over the gaps of a densified panel,
+    fill='none' leaves them out."""
+    if fill not in ("pad", "none"):
+        raise ValueError(f"fill is 'pad' or 'none', not {fill!r}")
     w = Window.partitionBy("ticker").orderBy("date")
     close = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if fill == "pad" else F.col("close")
     padded = panel.withColumn("_c", close)
