@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import series
 from ..functions.indicators import crosses_above, crosses_below, fresh, lag
 
 #: Weights of the four parts of the score.
@@ -118,17 +119,47 @@ REGISTRY = [
 STRATEGIES = [k for k, _, engine in REGISTRY if engine == "signals"]
 
 
-def register_strategy(name: str, build) -> None:
-    """UD1: build(frame) -> (entry, exit) columns; both are made plain booleans when used."""
-    if not callable(build):
-        raise TypeError("a strategy is a function of the indicator frame")
-    CUSTOM[name] = build
-
+class StrategyError(ValueError):
+    """What is wrong with a strategy of one's own, in words for its author."""
 
-CUSTOM: dict = {}
 
+def run_strategy(panel: DataFrame, build, name: str = "strategy") -> DataFrame:
+    """UD1: (ticker, date, entry, exit) of build(data, ind) -> (entries, exits) on a densified panel.
 
-def custom_signals(frame: DataFrame, name: str) -> DataFrame:
-    entry, leave = CUSTOM[name](frame)
-    return frame.withColumn("entry", _false(entry)).withColumn("exit", _false(leave))
-
+    data maps open, high, low, close and volume to series (array columns), ind is `functions.series`; the two results
+    are series of booleans, null counting as false. Functions only: source text is not executed."""
+    if not callable(build):
+        raise StrategyError(f"{name} must be a function of (data, ind)")
+    own = series.series(panel)
+    try:
+        out = build({f: F.col(f) for f in series.FIELDS}, series)
+    except Exception as e:
+        raise StrategyError(f"{name} failed: {type(e).__name__}: {e}") from e
+    if not (isinstance(out, tuple) and len(out) == 2):
+        raise StrategyError(f"{name} must return two things: (entries, exits)")
+    for side, x in zip(("entries", "exits"), out, strict=True):
+        if not isinstance(x, Column):
+            raise StrategyError(f"{side} of {name} must be a series of true and false, not {type(x).__name__}")
+        kind = own.select(x.alias("x")).dtypes[0][1]
+        if kind != "array<boolean>":
+            raise StrategyError(f"{side} of {name} must be a series of true and false, not {kind}")
+    told = series.rows(own, entry=out[0], exit=out[1])
+    return told.select("ticker", "date", _false(F.col("entry")).alias("entry"), _false(F.col("exit")).alias("exit"))
+
+
+def align_signals(panel: DataFrame, signals: DataFrame, name: str = "strategy") -> DataFrame:
+    """Signals (ticker, date, entry, exit) from anywhere, on the sessions of a densified panel: missing ones are
+    false, others than the panel's go. Repeated rows count as one, true if any is."""
+    missing = [c for c in ("ticker", "date", "entry", "exit") if c not in signals.columns]
+    if missing:
+        raise StrategyError(f"signals of {name} lack {', '.join(missing)}")
+    one = signals.groupBy("ticker", "date").agg(F.max(_false(F.col("entry"))).alias("entry"), F.max(_false(F.col("exit"))).alias("exit"))
+    joined = panel.select("ticker", "date").join(one, ["ticker", "date"], "left")
+    return joined.select("ticker", "date", _false(F.col("entry")).alias("entry"), _false(F.col("exit")).alias("exit"))
+
+
+def check_fires(signals: DataFrame, name: str = "strategy") -> DataFrame:
+    """The signals, if any entry is true; found by one aggregate."""
+    if not signals.agg(F.max("entry").alias("x")).first()["x"]:
+        raise StrategyError(f"the entry rule of {name} never fires on these data: loosen its conditions")
+    return signals

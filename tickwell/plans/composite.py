@@ -3,12 +3,11 @@ put together from the operators. Each has its SQL unless it holds a step that SQ
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import interpret as say
+from ..functions import series
 from ..operators import backtest, montecarlo, optimize, portfolio, risk, signals
 from ..sources import bars as src
 from .market import _MU, _SCORED, _SUMMARY, _UP, _DOWN, PROXIES, RETS, _complete, _frame, _grid, _mu, _rets
@@ -420,27 +419,59 @@ def q5(spark, sf):
 # ---------------------------------------------------------------- backtests
 
 
-@lru_cache(maxsize=1)
-def _examples() -> tuple[str, ...]:
-    """UD2: the template and two more strategies, registered under their names."""
-    lag = lambda x: F.lag(x).over(Window.partitionBy("ticker").orderBy("date"))
-    up = c("close") > c("ema50")
-    crosses = lambda a, b: (c(a) > c(b)) & (lag(a) <= lag(b))
-    signals.register_strategy("oversold_rsi", lambda f: ((c("rsi14") < 30) & up, c("rsi14") > 60))
-    signals.register_strategy("average_cross", lambda f: (crosses("ema10", "ema20"), crosses("ema20", "ema10")))
-    signals.register_strategy("snapback", lambda f: ((c("roc1") < -4) & up, c("rsi2") > 70))
-    return ("oversold_rsi", "average_cross", "snapback")
+def _oversold(data, ind):
+    """UD2: the template."""
+    entry = ind.each(lambda r, x, m: (r < 30) & (x > m), ind.rsi(data["close"], 14), data["close"], ind.ema(data["close"], 50))
+    return entry, ind.each(lambda r: r > 60, ind.rsi(data["close"], 14))
+
+
+def _average_cross(data, ind):
+    fast, slow = ind.ema(data["close"], 10), ind.ema(data["close"], 30)
+    return ind.crosses_above(fast, slow), ind.each(lambda a, b, p, q: (a < b) & (p >= q), fast, slow, ind.lag(fast), ind.lag(slow))
 
 
+def _snapback(data, ind):
+    entry = ind.each(lambda r, x, m: (r < -4) & (x > m), ind.roc(data["close"], 1), data["close"], ind.ema(data["close"], 50))
+    return entry, ind.each(lambda r: r > 70, ind.rsi(data["close"], 2))
+
+
+EXAMPLES = {"oversold_rsi": _oversold, "average_cross": _average_cross, "snapback": _snapback}
+# the second average's span is not among the frame's: its recursion is put beside the frame
+_AVERAGE30 = (
+    ", y30 AS (SELECT ticker, i, close AS y FROM frame WHERE i = 1 UNION ALL SELECT g.ticker, g.i, CASE WHEN g.close IS NULL THEN y WHEN y IS NULL THEN g.close "
+    "ELSE (power(1 - 2e0 / 31, g.gap) * y + 2e0 / 31 * g.close) / (power(1 - 2e0 / 31, g.gap) + 2e0 / 31) END FROM y30 JOIN frame g ON g.ticker = y30.ticker AND g.i = y30.i + 1), "
+    "r30 AS (SELECT rec.*, CASE WHEN n_bars >= 30 THEN y END AS ema30 FROM rec JOIN y30 USING (ticker, i))"
+)
 _EXAMPLES = {
-    "oversold_rsi": ("rsi14 < 30 AND close > ema50", "rsi14 > 60"), "average_cross": (_UP.format("ema10", "ema20"), _DOWN.format("ema10", "ema20")),
+    "oversold_rsi": ("rsi14 < 30 AND close > ema50", "rsi14 > 60"), "average_cross": (_UP.format("ema10", "ema30"), _DOWN.format("ema10", "ema30")),
     "snapback": ("roc1 < -4 AND close > ema50", "rsi2 > 70"),
 }
 for _name, (_in, _out) in _EXAMPLES.items():
-    query(f"ud2_{_name}", with_bars(f", s AS (SELECT ticker, date, coalesce({_in}, false) AS entry, coalesce({_out}, false) AS exit FROM rec) SELECT * FROM s WHERE entry OR exit", "p_type", rec=True))(
-        lambda spark, sf, k=_name: signals.custom_signals(_frame(spark, sf), _examples() and k).select("ticker", "date", "entry", "exit").filter("entry OR exit")
+    query(f"ud2_{_name}", with_bars(f"{_AVERAGE30}, s AS (SELECT ticker, date, coalesce({_in}, false) AS entry, coalesce({_out}, false) AS exit FROM r30) SELECT * FROM s WHERE entry OR exit", rec=True))(
+        lambda spark, sf, k=_name: signals.run_strategy(_grid(spark, sf), EXAMPLES[k], k).filter("entry OR exit")
     )
 
+_SERIES = (
+    "rsi2", "rsi14", "ema20", "ema50", "macd", "macd_signal", "macd_hist", "atr14", "roc5", "pctb", "adx", "rvol", "vwap", "stoch_k", "stoch_d", "obv", "keltner_up", "keltner_low", "atr_stop",
+    "tenkan", "kijun", "senkou_a", "senkou_b",
+)
+
+
+@query("ud3_series_functions", with_bars(f" SELECT ticker, date, {r6(*_SERIES)} FROM rec", rec=True))
+def ud3(spark, sf):
+    """UD3: the 14 functions of series, with the parameters that the frame has too."""
+    o, h, lo, x, v = (c(f) for f in series.FIELDS)  # noqa: F841
+    line, smooth, hist = series.macd(x)
+    k, d = series.stochastic(h, lo, x)
+    _, up, low = series.keltner_channels(h, lo, x)
+    tenkan, kijun, span_a, span_b = series.ichimoku(h, lo, x)
+    told = series.rows(
+        series.series(_grid(spark, sf)), rsi2=series.rsi(x, 2), rsi14=series.rsi(x), ema20=series.ema(x, 20), ema50=series.ema(x, 50), macd=line, macd_signal=smooth, macd_hist=hist, atr14=series.atr(h, lo, x),
+        roc5=series.roc(x, 5), pctb=series.bollinger_percent_b(x), adx=series.adx(h, lo, x), rvol=series.relative_volume(v), vwap=series.vwap(h, lo, x, v), stoch_k=k, stoch_d=d, obv=series.obv(x, v),
+        keltner_up=up, keltner_low=low, atr_stop=series.atr_trailing_stop(h, lo, x), tenkan=tenkan, kijun=kijun, senkou_a=span_a, senkou_b=span_b,
+    )
+    return rounded(told)
+
 
 def backtest_report(equity: DataFrame, bench: DataFrame, trades: DataFrame | None = None, capital: float = 100.0) -> DataFrame:
     """One row for each run of equity(run_id, date, equity), against bench(date, close) over its own dates."""
