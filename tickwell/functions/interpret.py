@@ -100,9 +100,21 @@ def backtest_summary(total: Column, capital: float, bench_total: Column, dd: Col
     return F.concat_ws(" ", *parts)
 
 
-def reason(momentum: Column, trend: Column, meanrev: Column, vol: Column) -> Column:
-    """N10"""
-    parts = [F.when(momentum > 0.5, "rising faster than its peers"), F.when(trend > 0.3, "in an uptrend"), F.when(meanrev > 0.5, "dipped within an uptrend"), F.when(vol > 0.5, "on unusual volume")]
+def signed(x: Column, digits: int = 1) -> Column:
+    """A number with its sign and so many decimals, halves to even."""
+    r = F.bround(x, digits)
+    return F.concat(F.when(r >= 0, "+").otherwise("-"), F.format_string(f"%.{digits}f", F.abs(r)))
+
+
+def reason(momentum: Column, trend: Column, meanrev: Column, vol: Column, roc20: Column, rsi2: Column, rvol: Column) -> Column:
+    """What speaks for a ticker, each with its figure."""
+    whole = lambda x: F.format_string("%.0f", F.bround(x, 0))
+    parts = [
+        F.when(momentum > 0.5, F.concat(F.lit("rising faster than its peers ("), signed(roc20, 0), F.lit("% in 20 sessions)"))),
+        F.when(trend > 0.3, "in an uptrend above its averages"),
+        F.when(meanrev > 0.5, F.concat(F.lit("dipped within an uptrend (two-session strength "), whole(rsi2), F.lit(")"))),
+        F.when(vol > 0.5, F.concat(F.lit("on unusual volume ("), F.format_string("%.1f", F.bround(rvol, 1)), F.lit(" times the average)"))),
+    ]
     text = F.concat_ws("; ", *parts)
     return F.when(text == "", "balanced on all measures").otherwise(text)
 
@@ -137,12 +149,6 @@ def odds(p: Column) -> Column:
 CATALYSTS = {"earnings": "an earnings report", "split": "a share split", "dividend": "a dividend", "news": "news of the day", "market": "a move of the whole market", "unknown": "no known cause"}
 
 
-def signed(x: Column, digits: int = 1) -> Column:
-    """A number with its sign and so many decimals, halves to even."""
-    r = F.bround(x, digits)
-    return F.concat(F.when(r >= 0, "+").otherwise("-"), F.format_string(f"%.{digits}f", F.abs(r)))
-
-
 def event_story(ticker: Column, ret: Column, z: Column, catalyst: Column, p: Column, rvol: Column, headline: Column, market_move: Column, bench_ret: Column) -> Column:
     """(title, label, story) of a significant move. The story tells its size and odds, the catalyst (the newest
     headline where news is the reason, the benchmark's own move where the market is), the volume and, for other

@@ -77,7 +77,30 @@ def best_entry(p: DataFrame) -> DataFrame:
     )
 
 
+def sample_stats(rets: DataFrame, span: int = 21) -> DataFrame:
+    """For each ticker of (ticker, date, ret) the number of returns, current and historical volatility of a year,
+    their ratio, drift, skew and excess kurtosis. The current deviation is exponentially weighted by age, so it is a
+    plain weighted aggregate: with w = q^age and S0 = sum w, S1 = sum w x, S2 = sum w x^2, S00 = sum w^2 its variance is
+    (S2 / S0 - (S1 / S0)^2) * S0^2 / (S0^2 - S00). Null where fewer than ten returns are known."""
+    keep = 1 - 2 / (span + 1)
+    known = rets.filter("ret IS NOT NULL").withColumn("age", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date"))) - 1)
+    w, r, n = F.pow(F.lit(keep), F.col("age")), F.col("ret"), F.col("n")
+    sums = known.groupBy("ticker").agg(
+        F.count("*").alias("n"), F.sum(w).alias("s0"), F.sum(w * r).alias("s1"), F.sum(w * r * r).alias("s2"), F.sum(w * w).alias("s00"), F.stddev_samp(r).alias("sd"), F.avg(r).alias("m"),
+        F.skewness(r).alias("g1"), F.kurtosis(r).alias("g2"),
+    )
+    square = F.col("s0") * F.col("s0")
+    spread = F.greatest(F.col("s2") / F.col("s0") - F.pow(F.col("s1") / F.col("s0"), F.lit(2)), F.lit(0.0)) * F.try_divide(square, square - F.col("s00"))
+    out = sums.withColumn("now", F.when(n >= 10, F.sqrt(spread)))
+    year = 252**0.5
+    return out.select(
+        "ticker", n.alias("n_days"), (F.col("now") * year).alias("vol_current"), (F.col("sd") * year).alias("vol_history"), F.when(F.col("sd") > 0, F.col("now") / F.col("sd")).alias("vol_ratio"),
+        (F.col("m") * 252).alias("drift"), F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)).alias("kurt"),
+    )
+
+
 def entry_histogram(p: DataFrame, horizon: int) -> DataFrame:
+    """M6: on how many paths each session holds the lowest price."""
     days = p.sparkSession.range(1, horizon + 1).select(F.col("id").cast("int").alias("day"))
     return days.join(lows(p).groupBy("day").agg(F.count("*").alias("n")), "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -124,6 +124,28 @@ def search_symbols(symbols: DataFrame, text: str, kinds: tuple = ("EQUITY", "ETF
     return symbols.filter(c("kind").isin(*kinds) & hit).orderBy("symbol").limit(most)
 
 
+# shapes of news: flat with epoch seconds or a time, nested, and rows that tell nothing
+_NEWS_JSON = """CASE o_orderkey % 8
+  WHEN 0 THEN concat('{"title": "Order ', CAST(o_orderkey AS VARCHAR(20)), '", "providerPublishTime": ', CAST(1000000000 + o_orderkey * 3600 AS VARCHAR(20)), ', "publisher": "Desk", "link": "l', CAST(o_orderkey AS VARCHAR(20)), '"}')
+  WHEN 1 THEN concat('{"content": {"title": "Order ', CAST(o_orderkey AS VARCHAR(20)), '", "pubDate": "', substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10), 'T10:30:00Z", "provider": {"displayName": "Wire"}, "canonicalUrl": {"url": "u', CAST(o_orderkey AS VARCHAR(20)), '"}}, "link": "not this"}')
+  WHEN 2 THEN concat('{"title": "Flat ', CAST(o_orderkey AS VARCHAR(20)), '", "pubDate": "', substr(CAST(o_orderdate AS VARCHAR(30)), 1, 10), 'T00:00:00Z"}')
+  WHEN 3 THEN '{"title": "no time"}' WHEN 4 THEN '{"content": {"pubDate": "2001-01-01T00:00:00Z"}, "title": "outside"}' WHEN 5 THEN '{"title": "cut off' WHEN 6 THEN '{"title": "bad time", "pubDate": "yesterday"}' ELSE NULL END"""
+
+
+@query(
+    "s7_news_json",
+    f"""WITH r AS (SELECT o_orderkey, {_NEWS_JSON} AS json FROM orders), v AS (SELECT o_orderkey, CASE WHEN json_valid(json) THEN CAST(json AS JSON) END AS j FROM r),
+    c AS (SELECT o_orderkey, j, coalesce(json_extract(j, '$.content'), j) AS c FROM v WHERE j IS NOT NULL),
+    p AS (SELECT o_orderkey, json_extract_string(c, '$.title') AS title, coalesce(try_strptime(json_extract_string(c, '$.pubDate'), '%Y-%m-%dT%H:%M:%SZ'), make_timestamp(CAST(json_extract_string(j, '$.providerPublishTime') AS BIGINT) * 1000000)) AS "when",
+      coalesce(json_extract_string(c, '$.provider.displayName'), json_extract_string(j, '$.publisher'), '') AS publisher, coalesce(json_extract_string(c, '$.canonicalUrl.url'), json_extract_string(j, '$.link')) AS url FROM c)
+    SELECT o_orderkey, title, CAST("when" AS DATE) AS day, epoch("when") AS seconds, publisher, url FROM p WHERE title IS NOT NULL AND "when" IS NOT NULL""",
+)
+def s7_json(spark, sf):
+    """Headlines from JSON text of both shapes; malformed rows and rows without title or time go."""
+    raw = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.expr(_NEWS_JSON).alias("json"))
+    return src.news_items(raw).select("o_orderkey", "title", c("when").cast("date").alias("day"), F.unix_timestamp("when").cast("double").alias("seconds"), "publisher", "url")
+
+
 @query(
     "s8_symbol_search",
     """SELECT 'P' || p_partkey AS symbol, p_name AS name, CASE p_size % 3 WHEN 0 THEN 'EQUITY' WHEN 1 THEN 'ETF' ELSE 'FUTURE' END AS kind FROM part
@@ -222,9 +244,22 @@ def n15(spark, sf):
     return _frame(spark, sf, own=True).select("ticker", "date", v["level"].alias("level"), v["label"].alias("label"))
 
 
-@query("n23_metric_info", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in say.METRICS.items()) + ") t(metric, meaning)")
+#: Metrics of the risk table and the names they are explained under.
+_EXPLAINED = {"sharpe": "sharpe", "sortino": "sortino", "downside_beta": "down_beta", "calmar": "calmar", "cvar": "cvar_95", "cf_var": "cf_var_95", "omega": "omega", "beta": "beta", "alpha": "alpha", "max_dd": "max_drawdown", "var95": "var_95", "vol": "volatility"}
+_MEANINGS = ", ".join("('{}', '{}')".format(m, say.METRICS[m].replace("'", "''")) for m in _EXPLAINED.values())
+
+
+@query(
+    "n23_metric_info",
+    with_bars(
+        _SUMMARY + ", mt AS (" + " UNION ALL ".join(f"SELECT ticker, '{m}' AS metric, {x} AS value FROM rs" for x, m in _EXPLAINED.items())
+        + f") SELECT ticker, metric, meaning, {r6('value')} FROM mt JOIN (VALUES {_MEANINGS}) t(metric, meaning) USING (metric)"
+    ),
+)
 def n23(spark, sf):
-    return spark.createDataFrame(list(say.METRICS.items()), "metric string, meaning string")
+    """Every figure of the risk table with what it means."""
+    told = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(say.METRICS[m]).alias("meaning"), c(x).alias("value")) for x, m in _EXPLAINED.items()])
+    return rounded(risk.summary(_rets(spark, sf)).select("ticker", F.inline(told)))
 
 
 # ---------------------------------------------------------------- market, ideas, chart
@@ -295,7 +330,7 @@ def q2(spark, sf):
     frame = _frame(spark, sf)
     scored = signals.edge_scores(signals.features(frame))
     ideas = signals.trade_ideas(scored).select("ticker", "edge", c("entry").alias("close"), (c("entry") - c("stop")).alias("risk"), "hold", "weight", "dollars")
-    told = scored.select("ticker", say.reason(c("momentum"), c("trend"), c("meanrev"), c("volume_score")).alias("reason"))
+    told = scored.select("ticker", say.reason(c("momentum"), c("trend"), c("meanrev"), c("volume_score"), c("roc20"), c("rsi2"), c("rvol")).alias("reason"))
     rank = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
     spark30 = frame.withColumn("r", rank).filter("r <= 30").groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", "close"))).alias("spark"))
     live = p3_live(spark, sf).select("ticker", "price")
@@ -416,6 +451,25 @@ def q5(spark, sf):
     return rounded(forecast(spark, _frame(spark, sf, own=True), src.catalysts(spark, sf, "earnings", "p_type"), ONE))
 
 
+@query("q5_history", with_bars(" SELECT ticker, date, round(close, 6) + 0 AS close FROM bars WHERE close IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) <= 60", "p_type"))
+def q5_history(spark, sf):
+    """The last 60 closes, which a forecast is drawn behind, of every ticker."""
+    rank = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))
+    return rounded(src.bars(spark, sf, "p_type").filter("close IS NOT NULL").withColumn("r", rank).filter("r <= 60").select("ticker", "date", "close"))
+
+
+@query("q5_fan")
+def q5_fan(spark, sf):
+    """Q5: the fan of prices on the coming business days, with the chance of each dip, from returns at today's deviation."""
+    own = _frame(spark, sf, own=True).filter(c("ticker") == ONE)
+    now = _last(own).select("date", "close").first()  # one row
+    p = montecarlo.paths(spark, montecarlo.pool(own, "current"), 21, 2000, 5, montecarlo.seed_of(ONE, str(now["date"])))
+    days = F.concat(F.array(F.lit(now["date"])), montecarlo.business_days(F.lit(now["date"]), 21))
+    fan = montecarlo.fan_bands(p, now["close"]).withColumn("date", F.get(days, c("day").cast("int")))
+    dips = montecarlo.dip_probabilities(p, [0.02, 0.03, 0.05, 0.08, 0.10]).agg(F.sort_array(F.collect_list(F.struct("dip", "prob"))).alias("dips"))
+    return rounded(fan.join(F.broadcast(dips)).select(c("day").cast("int").alias("day"), "date", "p05", "p25", "p50", "p75", "p95", F.to_json("dips").alias("dip_odds")))
+
+
 # ---------------------------------------------------------------- backtests
 
 
@@ -487,6 +541,8 @@ def backtest_report(equity: DataFrame, bench: DataFrame, trades: DataFrame | Non
     else:
         out = out.join(risk.trade_stats(trades), "run_id", "left")
     text = say.backtest_summary(c("total"), capital, c("bench_total"), c("max_dd"), c("win_rate"))
+    read = {"sharpe": say.sharpe(c("sharpe")), "alpha": say.alpha(c("alpha")), "beta": say.beta(c("beta")), "drawdown": say.drawdown(c("max_dd")), "profit_factor": say.profit_factor(c("profit_factor"))}
+    out = out.withColumns({f"{k}_verdict": v["level"] for k, v in read.items()})
     return out.withColumn("grade", say.grade(c("sharpe"), c("alpha"), c("max_dd"), c("profit_factor"))).withColumn("narrative", text)
 
 

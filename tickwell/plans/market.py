@@ -141,9 +141,20 @@ for _i, (_k, (_in, _out)) in enumerate(_SIGNALS.items(), 2):
     )
 
 
-@query("g10_registry", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{n}', '{e}')" for k, n, e in signals.REGISTRY) + ") t(key, name, engine)")
+#: What a strategy's signals look like on `z`, where its conditions are columns.
+_FLAGS = ", ".join(f"coalesce({i}, false) AS in_{k}, coalesce({x}, false) AS out_{k}" for k, (i, x) in _SIGNALS.items())
+_COUNTS = " UNION ALL ".join(f"SELECT '{k}' AS key, count(*) FILTER (WHERE in_{k}) AS entries, count(*) FILTER (WHERE out_{k}) AS exits FROM z" for k in _SIGNALS)
+
+
+@query("g10_registry", with_bars(", q AS (SELECT *, coalesce(close >= 0.98e0 * high52, false) AS near FROM rec), z AS (SELECT " + _FLAGS + " FROM q), n AS (" + _COUNTS + "), r AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{k}', '{n}', '{e}')" for k, n, e in signals.REGISTRY) + ") t(key, name, engine)) SELECT key, name, engine, entries, exits FROM r LEFT JOIN n USING (key)", rec=True))
 def g10(spark, sf):
-    return spark.createDataFrame(signals.REGISTRY, "key string, name string, engine string")
+    """The registry, with how often each strategy's signals fire on the panel."""
+    signal = signals.strategy_signals(_frame(spark, sf, "p_brand"))
+    count = lambda side, k: F.count(F.when(F.col(f"{side}_{k}"), 1))
+    counts = signal.agg(F.array(*[F.struct(F.lit(k).alias("key"), count("entry", k).alias("entries"), count("exit", k).alias("exits")) for k in signals.STRATEGIES]).alias("n"))
+    names = spark.createDataFrame(signals.REGISTRY, "key string, name string, engine string")
+    return names.join(counts.select(F.inline("n")), "key", "left")
 
 
 def _rebalance(spark, sf):
@@ -223,12 +234,19 @@ def r13(spark, sf):
     return rounded(risk.concentration(src.bars(spark, sf).groupBy("ticker").agg(F.sum("volume").alias("weight"))))
 
 
-@query("r14_sample_stats", with_bars(RETS + " SELECT ticker, round(stddev_samp(ret) * sqrt(252e0), 6) + 0 AS hist_vol, round(skewness(ret), 6) + 0 AS skew, round(kurtosis(ret), 6) + 0 AS kurt FROM rb GROUP BY 1"))
+_STATS = ("vol_current", "vol_history", "vol_ratio", "drift", "skew", "kurt")
+
+
+@query("r14_sample_stats", with_bars(f""", rt AS (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM bars),
+    ag AS (SELECT *, power(1 - 2e0 / 22, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) - 1) AS w FROM rt WHERE ret IS NOT NULL),
+    wm AS (SELECT ticker, sum(w * ret) / sum(w) AS m FROM ag GROUP BY 1),
+    sd AS (SELECT ticker, sqrt(sum(w * power(ret - m, 2)) / sum(w) * power(sum(w), 2) / (power(sum(w), 2) - sum(w * w))) AS now FROM ag JOIN wm USING (ticker) GROUP BY 1),
+    st AS (SELECT ticker, count(*) AS n_days, any_value(now) * sqrt(252e0) AS vol_current, stddev_samp(ret) * sqrt(252e0) AS vol_history, any_value(now) / stddev_samp(ret) AS vol_ratio, avg(ret) * 252 AS drift,
+      skewness(ret) AS skew, kurtosis(ret) AS kurt FROM ag JOIN sd USING (ticker) GROUP BY 1)
+    SELECT ticker, n_days, {r6(*_STATS)} FROM st"""))
 def r14(spark, sf):
-    n, g1, g2 = F.count("ret"), F.skewness("ret"), F.kurtosis("ret")
-    out = _rets(spark, sf).groupBy("ticker").agg(n.alias("n"), (F.stddev_samp("ret") * 252**0.5).alias("hist_vol"), g1.alias("g1"), g2.alias("g2"))
-    n = F.col("n")
-    return rounded(out.select("ticker", "hist_vol", (F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)).alias("kurt")))
+    """R14 on each ticker's own bars."""
+    return rounded(montecarlo.sample_stats(src.returns(src.bars(spark, sf), "none").select("ticker", "date", "ret")))
 
 
 #: Factor proxies on the fixture's tickers: long and short leg.
@@ -336,6 +354,11 @@ def m6(spark, sf):
     return rounded(montecarlo.best_entry(_paths(spark, sf)))
 
 
+@query("m6_day_histogram", with_bars(_POOL + ", lo AS (SELECT path, arg_min(day, (growth, day)) AS day FROM pa WHERE day > 0 GROUP BY 1) SELECT CAST(d.day AS INT) AS day, count(lo.day) AS n FROM range(1, 22) d(day) LEFT JOIN lo ON lo.day = d.day GROUP BY 1"))
+def m6_histogram(spark, sf):
+    return montecarlo.entry_histogram(_paths(spark, sf), 21)
+
+
 @query("m7_equity_confidence", with_bars(_POOL + ", pk AS (SELECT *, growth / max(growth) OVER (PARTITION BY path ORDER BY day ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM pa), pp AS (SELECT path, arg_max(growth, day) AS g, min(dd) AS dd FROM pk GROUP BY 1) SELECT " + ", ".join(f"round(quantile_cont(g, {q}) * 100, 6) + 0 AS p{int(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + ", round(avg(CASE WHEN g < 1 THEN 1e0 ELSE 0e0 END), 6) + 0 AS prob_loss, round(quantile_cont(dd, 0.5), 6) + 0 AS dd_median, round(quantile_cont(dd, 0.05), 6) + 0 AS dd_worst5, round(avg(CASE WHEN g - 1 > 0.01e0 THEN 1e0 ELSE 0e0 END), 6) + 0 AS prob_beat FROM pp"))
 def m7(spark, sf):
     return rounded(montecarlo.equity_confidence(_paths(spark, sf), 21, 100.0, 0.01))
@@ -413,7 +436,7 @@ def q1(spark, sf):
     """Q1: the scored table of the last session with its readings."""
     s = signals.edge_scores(signals.features(_frame(spark, sf)))
     c = F.col
-    return rounded(s.select("ticker", "close", "roc1", "roc20", "edge", say.rsi(c("rsi14")).label.alias("rsi"), say.percent_b(c("pctb")).label.alias("band"), say.volume(c("rvol")).label.alias("volume"), say.reason(c("momentum"), c("trend"), c("meanrev"), c("volume_score")).alias("reason")).orderBy(F.desc("edge"), "ticker"))
+    return rounded(s.select("ticker", "close", "roc1", "roc20", "edge", say.rsi(c("rsi14")).label.alias("rsi"), say.percent_b(c("pctb")).label.alias("band"), say.volume(c("rvol")).label.alias("volume"), say.reason(c("momentum"), c("trend"), c("meanrev"), c("volume_score"), c("roc20"), c("rsi2"), c("rvol")).alias("reason")).orderBy(F.desc("edge"), "ticker"))
 
 
 @query(

@@ -114,15 +114,17 @@ def latest_quotes(events: DataFrame, ticker: str = "event_type", value: str = "v
 
 
 def news_items(raw: DataFrame, column: str = "json") -> DataFrame:
-    """Headlines from flat or `content`-nested JSON, epoch seconds or ISO times; rows without title or time go."""
-    inner = "title STRING, pubDate STRING, providerPublishTime BIGINT, publisher STRING, link STRING"
-    j = F.from_json(column, f"{inner}, content STRUCT<title: STRING, pubDate: STRING, provider: STRUCT<displayName: STRING>, canonicalUrl: STRUCT<url: STRING>>")
-    row = raw.withColumn("j", j)
+    """Headlines from flat or `content`-nested JSON, epoch seconds or ISO times, newest first. Title and time are
+    those of the content where there is one; rows without either, or that aren't JSON, go."""
+    story = "title: STRING, pubDate: STRING, provider: STRUCT<displayName: STRING>, canonicalUrl: STRUCT<url: STRING>"
+    j = F.from_json(column, f"STRUCT<{story}, providerPublishTime: BIGINT, publisher: STRING, link: STRING, content: STRUCT<{story}>>")
+    row = raw.withColumn("_j", j)
+    inner = lambda c: F.when(F.col("_j.content").isNotNull(), F.col(f"_j.content.{c}")).otherwise(F.col(f"_j.{c}"))
     out = row.select(
         *[c for c in raw.columns if c != column],
-        F.coalesce("j.content.title", "j.title").alias("title"),
-        F.coalesce(F.try_to_timestamp("j.content.pubDate"), F.try_to_timestamp("j.pubDate"), F.timestamp_seconds("j.providerPublishTime")).alias("when"),
-        F.coalesce("j.content.provider.displayName", "j.publisher").alias("publisher"),
-        F.coalesce("j.content.canonicalUrl.url", "j.link").alias("url"),
+        inner("title").alias("title"),
+        F.coalesce(F.try_to_timestamp(inner("pubDate")), F.timestamp_seconds("_j.providerPublishTime")).alias("when"),
+        F.coalesce(inner("provider.displayName"), F.col("_j.publisher"), F.lit("")).alias("publisher"),
+        F.coalesce(inner("canonicalUrl.url"), F.col("_j.link")).alias("url"),
     )
     return out.filter("title IS NOT NULL AND when IS NOT NULL").orderBy(F.desc("when"))
