@@ -362,3 +362,22 @@ def test_finite_frame_of_own_bars_is_a_panel_without_gaps(spark, panel, wide):
     got = {r.date: r.roc5 for r in own.select("date", "roc5").collect()}
     want = (c / c.shift(5) - 1) * 100
     assert all((got[d] is None and np.isnan(x)) or got[d] == pytest.approx(x) for d, x in want.items())
+
+
+def test_exposures_equal_least_squares_on_the_rows(spark):
+    """Two years of rows, two nearly equal factors, two collinear ones, a short ticker and rows without a value."""
+    r = np.random.default_rng(2)
+    days = [dt.date(2023, 9, 1) + dt.timedelta(days=i) for i in range(200)]
+    f = r.normal(0, 0.01, (200, 2))
+    facs = np.column_stack([f, f[:, 0] + 1e-9 * r.normal(size=200)])
+    y = 0.0004 + f @ [1.2, -0.5] + r.normal(0, 0.003, 200)
+    rows = [("A", days[i], float(y[i]), *map(float, facs[i]), float(2 * f[i, 0])) for i in range(200)] + [("B", days[i], float(y[i]), *map(float, facs[i]), 0.0) for i in range(30)]
+    rets = spark.createDataFrame([*rows, ("A", dt.date(2025, 1, 1), None, 1.0, 1.0, 1.0, 1.0)], "ticker string, date date, ret double, a double, b double, near double, twice double")
+    for names in (["a", "b"], ["a", "b", "near"], ["a", "b", "twice"]):
+        (got,) = risk.factor_exposures(rets, names).collect()
+        x = np.column_stack([np.ones(200), *[facs[:, ["a", "b", "near"].index(n)] if n != "twice" else 2 * f[:, 0] for n in names]])
+        beta = np.linalg.lstsq(x, y, rcond=None)[0]
+        assert (got.ticker, got.n) == ("A", 200)
+        assert got.r2 == pytest.approx(1 - ((y - x @ beta) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-9)
+        tight = 1e-4 if "near" in names else 1e-8  # a condition number of 1e9 leaves that much in either way
+        assert [got[f"beta_{n}"] for n in names] == pytest.approx(beta[1:].tolist(), rel=tight, abs=tight) and got.alpha == pytest.approx(beta[0] * 252, abs=1e-6)

@@ -88,29 +88,38 @@ def sector_allocation(weights: DataFrame, sectors: DataFrame) -> DataFrame:
     return joined.groupBy(F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg(F.bround(F.sum("weight") / total, 4).alias("share"))
 
 
+def _triangle(table: np.ndarray) -> np.ndarray:
+    """R of a table's QR decomposition, which stands for all its rows in any least-squares question."""
+    return np.linalg.qr(table, mode="r")
+
+
 def factor_exposures(rets: DataFrame, factors: list[str], least: int = 60) -> DataFrame:
-    """OLS with intercept of each ticker on the factor columns. Gram sums are aggregated with map-side
-    combine; only the (k+1) x (k+1) systems are solved in Python."""
-    x = [F.lit(1.0), *[F.col(f) for f in factors]]
-    grams = [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
-    sides = [F.sum(x[i] * F.col("ret")).alias(f"y{i}") for i in range(len(x))]
-    complete = rets.na.drop(subset=["ret", *factors])
-    sums = complete.groupBy("ticker").agg(F.count("*").alias("n"), F.sum(F.col("ret") * F.col("ret")).alias("yy"), *grams, *sides).filter(F.col("n") >= least)
-
-    k = len(x)
-
-    def solve(batches):
-        for b in batches:
-            rows = []
-            for r in b.to_dict("records"):
-                g = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-                y = np.array([r[f"y{i}"] for i in range(k)])
-                beta = np.linalg.lstsq(g, y, rcond=None)[0]
-                rest, total = r["yy"] - beta @ y, r["yy"] - y[0] ** 2 / r["n"]
-                rows.append([r["ticker"], r["n"], beta[0] * YEAR, *beta[1:], 1 - rest / total if total > 0 else None])
-            yield pd.DataFrame(rows, columns=["ticker", "n", "alpha", *[f"beta_{f}" for f in factors], "r2"])
-
-    return sums.mapInPandas(solve, "ticker string, n long, alpha double, " + ", ".join(f"beta_{f} double" for f in factors) + ", r2 double")
+    """least squares with intercept of each ticker on the factor columns, of smallest norm where factors are
+    collinear. Rows (1, factors, return) are reduced to triangles by ticker and year, those are put on top of each
+    other and reduced again by ticker, so no group holds more than a year's rows or a triangle a year, and nearly equal
+    factors keep the precision that sums of their products would lose."""
+    names = ["ret", *factors]
+    width = len(factors) + 2
+    complete = rets.na.drop(subset=names).select("ticker", F.year("date").alias("part"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+
+    def reduce(d: pd.DataFrame) -> pd.DataFrame:
+        x = d[[f"x{i}" for i in range(len(names))]].to_numpy()
+        r = _triangle(np.column_stack([np.ones(len(x)), x[:, 1:], x[:, 0]]))
+        return pd.DataFrame({"ticker": d["ticker"].iloc[0], "n": [len(x)] + [0] * (len(r) - 1), "row": list(r)})
+
+    triangles = complete.groupBy("ticker", "part").applyInPandas(reduce, "ticker string, n long, row array<double>")
+
+    def solve(d: pd.DataFrame) -> pd.DataFrame:
+        n, out = int(d["n"].sum()), ["ticker", "n", "alpha", *[f"beta_{f}" for f in factors], "r2"]
+        if n < least:
+            return pd.DataFrame(columns=out)
+        r = _triangle(np.vstack(d["row"].to_list()))
+        r = np.vstack([r, np.zeros((max(0, width - len(r)), width))])
+        beta = np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=None)[0]
+        rest, total = float(((r[:, -1] - r[:, :-1] @ beta) ** 2).sum()), float((r[1:, -1] ** 2).sum())
+        return pd.DataFrame([[d["ticker"].iloc[0], n, beta[0] * YEAR, *beta[1:], 1 - rest / total if total > 0 else None]], columns=out)
+
+    return triangles.groupBy("ticker").applyInPandas(solve, "ticker string, n long, alpha double, " + ", ".join(f"beta_{f} double" for f in factors) + ", r2 double")
 
 
 def factor_returns(rets: DataFrame, spec: dict[str, tuple[str, str | None]]) -> DataFrame:

@@ -438,11 +438,15 @@ def forecast(spark: SparkSession, frame: DataFrame, earnings: DataFrame, ticker:
     names = ("prob_up", "p50", "p05", "median_day", "median_low", "fill_rate", "avg_overall", "now_avg")
     vols = own.agg((F.stddev_samp("ret") * 252**0.5).alias("hist_vol"), (F.max_by("sigma_adjusted", "date") * 252**0.5).alias("now_vol"))
     row = row.join(F.broadcast(vols))
-    return row.select(
+    page = row.select(
         F.lit(ticker).alias("ticker"), F.lit(now["close"]).alias("last"), F.lit(horizon).alias("horizon"), F.lit(n_paths).alias("n_paths"), *[x for q in parts for x in q.columns], "next_earnings", "earnings_in",
         timing.alias("verdict"), say.forecast_narrative(F.lit(ticker), horizon, n_paths, {k: c(k) for k in names}, d * 100).alias("narrative"),
         say.vol_regime(c("now_vol") / c("hist_vol"), c("now_vol")).alias("vol_line"),
     )
+    told = page.collect()  # one row
+    own.unpersist()
+    p.unpersist()
+    return spark.createDataFrame(told, page.schema)
 
 
 @query("q5_forecast")
@@ -548,13 +552,16 @@ def backtest_report(equity: DataFrame, bench: DataFrame, trades: DataFrame | Non
 
 @query("q8_backtest")
 def q8(spark, sf):
-    """Q8: every signal strategy with trades and the momentum rotation, as rows of one report."""
+    """Q8: every signal strategy with trades and the momentum rotation, as rows of one report: one row for each run."""
     frame = _frame(spark, sf)
     bench = src.bars(spark, sf, "p_type").filter(c("ticker") == src.BENCHMARK).select("date", "close")
     rows = backtest.signal_trades(backtest.signal_runs(signals.strategy_signals(frame.filter(c("ticker") != src.BENCHMARK)), signals.STRATEGIES)).persist()
     runs = backtest_report(rows.filter("kind <> 'trade'").select("run_id", "date", "equity"), bench, rows.filter("kind = 'trade'").select("run_id", "pnl"))
     rotation = backtest.rebalance(_grid(spark, sf, "p_type").filter(c("ticker") != src.BENCHMARK)).select(F.lit("momentum").alias("run_id"), "date", "equity")
-    return rounded(runs.unionByName(backtest_report(rotation, bench)))
+    report = rounded(runs.unionByName(backtest_report(rotation, bench)))
+    told = report.collect()
+    rows.unpersist()
+    return spark.createDataFrame(told, report.schema)
 
 
 @query("q8_robustness")
