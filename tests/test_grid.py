@@ -381,3 +381,30 @@ def test_exposures_equal_least_squares_on_the_rows(spark):
         assert got.r2 == pytest.approx(1 - ((y - x @ beta) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-9)
         tight = 1e-4 if "near" in names else 1e-8  # a condition number of 1e9 leaves that much in either way
         assert [got[f"beta_{n}"] for n in names] == pytest.approx(beta[1:].tolist(), rel=tight, abs=tight) and got.alpha == pytest.approx(beta[0] * 252, abs=1e-6)
+
+
+def test_pairs_by_blocks_equal_numpy(spark, monkeypatch):
+    """Many tickers in blocks of three over several parts of time."""
+    monkeypatch.setattr(risk, "BLOCK", 3)
+    monkeypatch.setattr(risk, "PART", 40)
+    r = np.random.default_rng(4)
+    x = r.normal(0, 0.01, (130, 10)) + r.normal(0, 0.01, (130, 1))
+    names = [f"T{i}" for i in range(10)]
+    rows = [(t, DAYS[i], float(x[i, j])) for i in range(130) for j, t in enumerate(names) if (i, j) != (50, 3)]
+    rets = spark.createDataFrame(rows, "ticker string, date date, ret double")
+    whole = np.delete(x, 50, 0)
+    got = {(r.ticker, r.other): (r.corr, r.cov) for r in risk.correlation(rets).collect()}
+    corr, cov = np.corrcoef(whole.T), np.cov(whole.T)
+    assert len(got) == 55
+    for (a, b), v in got.items():
+        i, j = names.index(a), names.index(b)
+        assert a <= b and v == pytest.approx((corr[i, j], cov[i, j]), abs=1e-12)
+    shrunk = {(r.ticker, r.other): r.cov for r in risk.shrunk_covariance(rets).collect()}
+    c = whole - whole.mean(0)
+    s, n, p = c.T @ c / 129, 129, 10
+    mu = np.trace(s) / p
+    d = ((s**2).sum() - p * mu * mu) / p
+    beta = (((c**2).T @ (c**2) / n).sum() - (s**2).sum()) / (p * n)
+    k = min(beta, d) / d
+    want = ((1 - k) * s + k * mu * np.eye(p)) * 252
+    assert len(shrunk) == 100 and all(v == pytest.approx(want[names.index(a), names.index(b)], abs=1e-12) for (a, b), v in shrunk.items())

@@ -58,14 +58,52 @@ def rolling_beta(rets: DataFrame, window: int = 63) -> DataFrame:
     return rets.withColumn("beta", F.when(F.count("ret").over(w) == window, beta)).filter("beta IS NOT NULL").select("ticker", "date", "beta")
 
 
+def complete_dates(rets: DataFrame, k: int) -> DataFrame:
+    """The rows of dates on which all k tickers have one."""
+    return rets.withColumn("_n", F.count("*").over(Window.partitionBy("date"))).filter(F.col("_n") == k).drop("_n")
+
+
+#: Tickers of a block, and days of a part of time: what one group of pair_sums holds at most, twice.
+BLOCK, PART = 256, 180
+
+
+def pair_sums(centred: DataFrame, k: int) -> DataFrame:
+    """(ticker, other, s, q, n) for ticker <= other: sums of x * y and its square over dates, from (date, ticker, x)
+    of k tickers on complete dates.
+
+    Tickers are dealt to blocks and dates to parts; each pair of blocks multiplies its matrices part by part, so a row
+    is sent once for each block instead of once for each ticker, and no join makes pairs."""
+    blocks = -(-k // BLOCK)
+    at = centred.select("date", "ticker", "x", F.floor(F.unix_date("date") / PART).alias("part"), F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int").alias("b"))
+    met = at.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("date", "ticker", "x", "part", "b", F.least("b", "c").alias("low"), F.greatest("b", "c").alias("high"))
+
+    def multiply(d: pd.DataFrame) -> pd.DataFrame:
+        one, two = (d[d["b"] == d[side].iloc[0]].pivot_table(index="date", columns="ticker", values="x") for side in ("low", "high"))
+        x, y = one.to_numpy(), two.reindex(one.index).to_numpy()
+        if x.size == 0 or y.size == 0:
+            return pd.DataFrame(columns=["ticker", "other", "s", "q", "n"])
+        s, q = x.T @ y, (x * x).T @ (y * y)
+        i, j = np.indices(s.shape).reshape(2, -1)
+        names, others = one.columns.to_numpy()[i], two.columns.to_numpy()[j]
+        keep = names <= others if d["low"].iloc[0] == d["high"].iloc[0] else np.ones(len(names), bool)
+        first, last = np.where(names <= others, names, others), np.where(names <= others, others, names)
+        return pd.DataFrame({"ticker": first, "other": last, "s": s.ravel(), "q": q.ravel(), "n": len(x)})[keep]
+
+    parts = met.groupBy("low", "high", "part").applyInPandas(multiply, "ticker string, other string, s double, q double, n long")
+    return parts.groupBy("ticker", "other").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))
+
+
+def _centred(rets: DataFrame) -> DataFrame:
+    return rets.withColumn("x", F.col("ret") - F.avg("ret").over(Window.partitionBy("ticker"))).select("date", "ticker", "x")
+
+
 def correlation(rets: DataFrame) -> DataFrame:
     """Correlations of all pairs over the dates on which every ticker has a return."""
     k = rets.select("ticker").distinct().count()
-    full = rets.groupBy("date").agg(F.count("*").alias("n")).filter(F.col("n") == k).select("date")
-    own = rets.join(full, "date", "left_semi").select("date", "ticker", "ret")
-    other = own.select("date", F.col("ticker").alias("other"), F.col("ret").alias("other_ret"))
-    pairs = own.join(other, "date").filter("ticker <= other").groupBy("ticker", "other")
-    return pairs.agg(F.corr("ret", "other_ret").alias("corr"), F.covar_samp("ret", "other_ret").alias("cov"))
+    sums = pair_sums(_centred(complete_dates(rets, k)), k)
+    own = sums.filter("ticker = other").select(F.col("ticker").alias("t"), F.col("s").alias("v"))
+    joined = sums.join(own.select(F.col("t").alias("ticker"), F.col("v").alias("v1")), "ticker").join(own.select(F.col("t").alias("other"), F.col("v").alias("v2")), "other")
+    return joined.select("ticker", "other", F.try_divide("s", F.nullif(F.sqrt(F.col("v1") * F.col("v2")), F.lit(0.0))).alias("corr"), F.try_divide("s", F.col("n") - 1).alias("cov"))
 
 
 def portfolio_returns(rets: DataFrame, weights: DataFrame) -> DataFrame:
@@ -154,15 +192,12 @@ def expected_returns(rets: DataFrame, halflife: int = 63) -> DataFrame:
 def shrunk_covariance(rets: DataFrame, complete: bool = False) -> DataFrame:
     """O2: Ledoit-Wolf (2004) shrinkage towards the scaled identity, from complete dates; long (ticker, other, cov).
     What the shrinkage needs of all pairs is one row of sums. `complete` says that rets holds complete dates only."""
-    own = rets
-    if not complete:
-        width = rets.agg(F.count_distinct("ticker").alias("k"))
-        full = rets.groupBy("date").agg(F.count("*").alias("n")).join(F.broadcast(width)).filter("n = k").select("date")
-        own = rets.join(full, "date", "left_semi")
-    own = own.withColumn("x", F.col("ret") - F.avg("ret").over(Window.partitionBy("ticker"))).select("date", "ticker", "x")
-    other = own.select("date", F.col("ticker").alias("other"), F.col("x").alias("y"))
-    xy, same = F.col("x") * F.col("y"), F.col("ticker") == F.col("other")
-    sums = own.join(other, "date").groupBy("ticker", "other").agg(F.avg(xy).alias("s"), F.avg(xy * xy).alias("q"), F.count("*").alias("n"))
+    k = rets.select("ticker").distinct().count()
+    own = _centred(rets if complete else complete_dates(rets, k))
+    half = pair_sums(own, k).select("ticker", "other", (F.col("s") / F.col("n")).alias("s"), (F.col("q") / F.col("n")).alias("q"), "n")
+    both = F.when(F.col("ticker") == F.col("other"), F.array(F.struct("ticker", "other"))).otherwise(F.array(F.struct("ticker", "other"), F.struct(F.col("other").alias("ticker"), F.col("ticker").alias("other"))))
+    sums = half.select(F.explode(both).alias("p"), "s", "q", "n").select("p.ticker", "p.other", "s", "q", "n")
+    same = F.col("ticker") == F.col("other")
     p, mu, square = F.sum(same.cast("double")), F.sum(F.when(same, F.col("s"))), F.sum(F.col("s") * F.col("s"))
     total = sums.agg(p.alias("p"), (mu / p).alias("mu"), square.alias("square"), ((F.sum("q") - square) / (p * F.max("n"))).alias("beta"))
     delta = (F.col("square") - F.col("p") * F.col("mu") * F.col("mu")) / F.col("p")
