@@ -147,7 +147,7 @@ def test_leaks_with_words_put_in_and_left_out_equal_every_window_tried(spark):
     head, tail = "which of the following".split() + ["is"], "choose the best answer now".split()
     items = {i: head + sentence(700 + i, 31).split() + tail for i in range(100)}
     docs = {}
-    for d in range(130):
+    for d in range(56):
         own = list(items[d % 100])
         at, n = r.randrange(12, 26), 1 + d % 4
         if d % 3 == 2:
@@ -157,14 +157,14 @@ def test_leaks_with_words_put_in_and_left_out_equal_every_window_tried(spark):
         else:
             own[at:at] = [f"new{d}x{k}" for k in range(n)]
         docs[d] = sentence(3000 + d, 25).split() + own + (sentence(3500 + d, 20).split() if d % 5 else [])
-    docs[130] = items[0] + items[1] + items[2]
-    docs[131] = head + tail + sentence(4000, 60).split() + head
+    docs[56] = items[0] + items[1] + items[2]
+    docs[57] = head + tail + sentence(4000, 60).split() + head
     table = spark.createDataFrame([(d, " ".join(x)) for d, x in docs.items()], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
     got = decontaminate.find_leaks(table, bench).collect()
     want = weighted_leaks(docs, items)
     assert {(x.doc_id, x.item_id) for x in got} == want
-    assert sum(1 for d, _ in want if d % 4 == 1 and d % 3 != 2) > 10 and {(130, 0), (130, 1), (130, 2)} <= want
+    assert sum(1 for d, _ in want if d % 4 == 1 and d % 3 != 2) > 2 and {(56, 0), (56, 1), (56, 2)} <= want
     assert sum(x.hamming is not None for x in got) > 0.5 * len(got)  # fingerprints carry the main load
 
 
