@@ -89,9 +89,9 @@ def finite_frame(bars: DataFrame) -> DataFrame:
 #: Inventory id and name -> the columns that answer it, on the session grid.
 FINITE = {
     "w4_true_range": ["true_range"], "w6_bollinger_pct_b": ["pctb"], "w7_roc": ["roc1", "roc5", "roc10", "roc20"], "w9_relative_volume": ["rvol"],
-    "w10_vwap": ["vwap"], "w11_stochastic": ["stoch_k", "stoch_d"], "w12_obv": ["obv"],
+    "w10_vwap": ["vwap"], "w11_stochastic": ["stoch_k", "stoch_d"],
     "w15_ichimoku": ["tenkan", "kijun", "senkou_a", "senkou_b"], "w17_volume_averages": ["volume_ma20", "dollar_volume"],
-    "w19_high52": ["high52"], "w20_donchian": ["donchian"], "w23_underwater": ["underwater"], "w25_growth": ["growth"],
+    "w19_high52": ["high52"], "w20_donchian": ["donchian"],
 }
 #: The same on each ticker's own bars, as pages for a single ticker have them.
 OWN = {"w9b_lagged_rvol": ["rvol_lagged"], "w16_bollinger_bands": ["bb_mid", "bb_up", "bb_low"], "w18_off_high": ["off_high"]}

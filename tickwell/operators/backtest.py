@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.indicators import by_ticker
+from . import spans
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,7 @@ def rebalance(bars: DataFrame, lookback: int = 20, top_n: int = 5, hold: int = 5
     """B1: equity of holding the `top_n` by `lookback`-session change, chosen anew every `hold` sessions.
     Weights stay as set until the next choice; the return of a session belongs to the weights of the one before.
     Bars are densified and carry session_i; changes carry the last close over gaps. The result has one row a session;
-    only such rows meet in the last, global window."""
+    only such rows meet in the last, global window, where two passes by spans would make this whole plan twice."""
     padded = bars.withColumn("_c", F.last("close", ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)))
     score = F.try_divide("_c", F.lag("_c", lookback).over(by_ticker())) - 1
     ret = F.coalesce(F.try_divide("_c", F.lag("_c").over(by_ticker())) - 1, F.lit(0.0))
@@ -45,15 +46,16 @@ def rebalance(bars: DataFrame, lookback: int = 20, top_n: int = 5, hold: int = 5
     picked = chosen.withColumn("rank", rank).filter(F.col("rank") <= top_n)
     picked = picked.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("session_i"))).select(((F.col("session_i") - 1 - start) / hold).cast("int").alias("round"), "ticker", "weight")
     live = base.filter(F.col("session_i") > start).withColumn("held", F.floor((F.col("session_i") - 2 - start) / hold).cast("int"))
-    gained = live.join(picked.withColumnRenamed("round", "held"), ["held", "ticker"]).groupBy("session_i").agg(F.sum(F.col("weight") * F.col("ret")).alias("gross"))
+    held = live.join(picked.withColumnRenamed("round", "held"), ["held", "ticker"], "left")
+    gained = held.groupBy("session_i").agg(F.max("date").alias("date"), F.sum(F.col("weight") * F.col("ret")).alias("gross"))
     before = picked.select((F.col("round") + 1).alias("round"), "ticker", F.col("weight").alias("old"))
     turned = picked.join(before, ["round", "ticker"], "full").groupBy("round").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("turnover"))
     turned = turned.select((F.col("round") * hold + start + 1).alias("session_i"), "turnover")
-    days = base.filter(F.col("session_i") > start).select("date", "session_i").distinct()
-    net = days.join(gained, "session_i", "left").join(turned, "session_i", "left").select(
+    net = gained.join(turned, "session_i", "left").select(
         "date", "session_i", (F.coalesce("gross", F.lit(0.0)) - F.coalesce("turnover", F.lit(0.0)) * cost_bps / 1e4).alias("ret")
     )
-    return net.withColumn("equity", capital * F.exp(F.sum(F.log1p("ret")).over(Window.orderBy("session_i").rowsBetween(Window.unboundedPreceding, 0)))).select("date", "ret", "equity")
+    so_far = Window.orderBy("session_i").rowsBetween(Window.unboundedPreceding, 0)
+    return net.withColumn("equity", capital * F.exp(F.sum(spans.log_step()).over(so_far))).select("date", "ret", "equity")
 
 
 TRADES = (

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import spans
+
 YEAR = 252
 Z05 = NormalDist().inv_cdf(0.05)
 
@@ -20,11 +22,10 @@ def with_benchmark(rets: DataFrame, benchmark: str = "MKT") -> DataFrame:
 
 
 def summary(rets: DataFrame, least: int = 60, rf: float = 0.0, by: str = "ticker") -> DataFrame:
-    """R1 to R10 for each ticker with `least` returns at least, from (ticker, date, ret, bench)."""
+    """R1 to R10 for each ticker with `least` returns at least, from (ticker, date, ret, bench). Growth and deepest fall
+    are merged from spans of time."""
     r, b, day = F.col("ret"), F.col("bench"), rf / YEAR
-    w = Window.partitionBy(by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    grown = rets.withColumn("_g", F.exp(F.sum(F.log1p("ret")).over(w)))
-    grown = grown.withColumn("_dd", F.col("_g") / F.max("_g").over(w) - 1)
+    grown = spans.path_ends(rets, spans.log_step(), by)
     low = F.when(b < 0, r), F.when(b < 0, b)
     cut = F.percentile("ret", F.lit(0.05))
     base = grown.groupBy(by).agg(
@@ -33,13 +34,14 @@ def summary(rets: DataFrame, least: int = 60, rf: float = 0.0, by: str = "ticker
         cut.alias("_cut"), F.skewness(r).alias("_s"), F.kurtosis(r).alias("_k"), F.avg(r).alias("_m"), F.stddev_pop(r).alias("_sd"),
         F.try_divide(F.covar_samp(*low), F.nullif(F.var_pop(F.when(b < 0, b)), F.lit(0.0))).alias("_dbeta"), F.count(F.when(b < 0, 1)).alias("_nlow"),
         F.try_divide(F.covar_samp(r, b), F.nullif(F.var_samp(b), F.lit(0.0))).alias("_beta"), F.avg(b).alias("_bm"),
-        F.min("_dd").alias("max_dd"), F.max_by("_g", "date").alias("_growth"),
+        F.collect_list("_path").alias("_states"),
         F.sum(F.greatest(r - day, F.lit(0.0))).alias("_gains"), F.sum(F.greatest(day - r, F.lit(0.0))).alias("_losses"),
     )
     tail = rets.join(base.select(by, "_cut"), by).filter("ret <= _cut").groupBy(by).agg((-F.avg("ret")).alias("cvar"))
     z, s, k = Z05, F.col("_s"), F.col("_k")
     zcf = z + (z * z - 1) * s / 6 + (z**3 - 3 * z) * k / 24 - (2 * z**3 - 5 * z) * s * s / 36
-    out = base.join(tail, by).filter(F.col("n") >= least)
+    out = base.join(tail, by).filter(F.col("n") >= least).withColumn("_end", spans.merged_path(F.col("_states")))
+    out = out.withColumn("max_dd", F.col("_end.worst")).withColumn("_growth", F.col("_end.growth"))
     years = F.col("n") / YEAR
     return out.select(
         by, "n", "vol", (F.col("_sharpe") * YEAR**0.5).alias("sharpe"), F.when(F.col("_below") >= 2, F.col("_sortino") * YEAR**0.5).alias("sortino"),
@@ -215,15 +217,12 @@ def trade_stats(trades: DataFrame, by: str = "run_id") -> DataFrame:
 
 
 def perf_stats(equity: DataFrame, by: str = "run_id") -> DataFrame:
-    """B7; trade_stats has the columns of trades, summary beta and alpha: total, CAGR, volatility, Sharpe, Sortino and drawdown of equity curves."""
-    w = Window.partitionBy(by).orderBy("date")
-    e = equity.withColumn("ret", F.col("equity") / F.lag("equity").over(w) - 1).withColumn("dd", F.col("equity") / F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    r = F.col("ret")
-    total = F.max_by("equity", "date") / F.min_by("equity", "date") - 1
-    sd, below = F.stddev_pop(r), F.stddev_pop(F.when(r < 0, r))
-    return e.groupBy(by).agg(
-        total.alias("total"), F.when(total > -1, F.pow(total + 1, YEAR / F.count("ret")) - 1).alias("cagr"), (sd * YEAR**0.5).alias("vol"),
-        (F.try_divide(F.avg(r), F.nullif(sd, F.lit(0.0))) * YEAR**0.5).alias("sharpe"), (F.try_divide(F.avg(r), F.nullif(below, F.lit(0.0))) * YEAR**0.5).alias("sortino"),
-        F.min("dd").alias("max_dd"), F.count("ret").alias("n_days"),
+    """B7; trade_stats has the columns of trades, summary beta and alpha: total, CAGR, volatility, Sharpe, Sortino and
+    drawdown of equity curves."""
+    e, zero = spans.curve_stats(equity, by), F.lit(0.0)
+    total = F.try_divide("last", "first") - 1
+    sharpe, sortino = (F.try_divide("mean", F.nullif(F.col(c), zero)) * YEAR**0.5 for c in ("sd", "sd_low"))
+    return e.select(
+        by, total.alias("total"), F.when(total > -1, F.pow(total + 1, F.try_divide(F.lit(float(YEAR)), "n")) - 1).alias("cagr"), (F.col("sd") * YEAR**0.5).alias("vol"),
+        sharpe.alias("sharpe"), sortino.alias("sortino"), F.col("worst").alias("max_dd"), F.col("n").alias("n_days"),
     )
-

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import interpret as say
-from ..operators import backtest, events, ewm, montecarlo, optimize, portfolio, risk, signals
+from ..functions.indicators import finite_frame
+from ..operators import backtest, events, ewm, montecarlo, optimize, portfolio, risk, signals, spans
 from ..sources import bars as src
 from .registry import ORACLES, QUERIES, query, r6, rounded, with_bars
 
@@ -65,6 +66,25 @@ def p10(spark, sf):
     return wanted.join(src.bars(spark, sf).select("ticker").distinct(), "ticker", "left_anti")
 
 
+def _running(column: str) -> str:
+    return with_bars(f" SELECT ticker, date, {r6(column)} FROM frame", frame=True)
+
+
+@query("w12_obv", _running("obv"))
+def w12(spark, sf):
+    return rounded(spans.obv(_grid(spark, sf)))
+
+
+@query("w23_underwater", _running("underwater"))
+def w23(spark, sf):
+    return rounded(spans.underwater(_grid(spark, sf).select("ticker", "date", "close")).select("ticker", "date", "underwater"))
+
+
+@query("w25_growth", _running("growth"))
+def w25(spark, sf):
+    return rounded(spans.growth(finite_frame(_grid(spark, sf)).select("ticker", "date", "ret")).select("ticker", "date", "growth"))
+
+
 @query("w24_rolling_beta", with_bars(RETS + ", w AS (SELECT ticker, date, covar_samp(ret, bench) OVER k / nullif(var_pop(bench) OVER k, 0) AS beta, count(ret) OVER k AS n FROM rb WINDOW k AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) SELECT ticker, date, round(beta, 6) + 0 AS beta FROM w WHERE n = 63 AND beta IS NOT NULL"))
 def w24(spark, sf):
     return rounded(risk.rolling_beta(_rets(spark, sf)))
@@ -105,8 +125,6 @@ def x3(spark, sf):
 
 @query("x1_zscore", with_bars(f", z AS (SELECT ticker, date, {_z('roc5', 'PARTITION BY date')} AS z FROM frame) SELECT ticker, date, round(z, 6) + 0 AS z FROM z WHERE z IS NOT NULL", frame=True))
 def x1(spark, sf):
-    from ..functions.indicators import finite_frame
-
     return rounded(finite_frame(_grid(spark, sf)).select("ticker", "date", signals.zscore(F.col("roc5")).alias("z")).filter("z IS NOT NULL"))
 
 
@@ -117,8 +135,6 @@ def x5(spark, sf):
 
 @query("x6_top_per_date", with_bars(" SELECT ticker, date, CAST(rank AS INT) AS rank, round(1e0 / count(*) OVER (PARTITION BY date), 6) + 0 AS weight FROM (SELECT ticker, date, row_number() OVER (PARTITION BY date ORDER BY roc20 DESC, ticker) AS rank FROM frame WHERE roc20 IS NOT NULL) WHERE rank <= 5", frame=True))
 def x6(spark, sf):
-    from ..functions.indicators import finite_frame
-
     return rounded(signals.top_per_date(finite_frame(_grid(spark, sf)), "roc20", 5).select("ticker", "date", "rank", "weight"))
 
 
