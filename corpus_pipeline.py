@@ -19,7 +19,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     model = language_id.learn(docs, F.lit(True))
     lang, score = fresh(docs.columns, "_lang"), fresh(docs.columns, "_score")
     told = language_id.identify(docs, model, lang_as=lang, score_as=score)
-    return told.filter((F.col(lang) != "und") & (F.col(score) >= 0.5)).select(*docs.columns)
+    return materialise(told.filter((F.col(lang) != "und") & (F.col(score) >= 0.5)).select(*docs.columns), "languages")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

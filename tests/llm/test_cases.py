@@ -339,3 +339,20 @@ def test_pipeline_from_end_to_end(spark):
     assert set(copies) <= {d for d, _ in after["decontaminate"]} and max(copies.values()) <= 3
     out = seen["token_output"][1].collect()
     assert len(out) == len(after["mixing"]) and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
+
+
+def test_workers_stay_small(spark, tmp_path):
+    """A worker's arrays while it encodes distinct words, and the batches of the pipeline's first stage."""
+    encode = token_output._encoder(queries.tokenizer_path())
+    known = next(c.cell_contents for c in encode.__closure__ if isinstance(c.cell_contents, token_output.Pretokens))
+    known.clear()
+    for part in range(3):
+        encode([" ".join(f"{i:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(part * 300_000, part * 300_000 + 300_000))])
+    assert len(known.keys) < 700_000 and len(known.at) == len(known.keys)
+    known.clear()
+    rows = [(i, "the quick brown fox and words of a text " * 50, "en", "s", 7) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.keep_known_languages(spark, docs, "")
+    assert kept.inputFiles() and sorted(map(tuple, kept.collect())) == rows
+    text_twice = language_id.identify(docs, language_id.learn(docs, F.lit(True)))._jdf.queryExecution().analyzed().toString()
+    assert "AS _text" not in text_twice

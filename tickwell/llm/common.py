@@ -27,7 +27,10 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def materialise(df: DataFrame, name: str, batch: str = "4m") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there and survives lost executors.
-    While it is written, Arrow batches hold at most `batch` bytes, so that workers stay small beside the executor."""
+    While it is written, Arrow batches hold at most `batch` bytes, so that workers stay small beside the executor.
+    A table that was written so already is returned as it is."""
+    if _WRITTEN.get(id(df), (lambda: None, ""))[0]() is df:
+        return df
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_BATCH)
@@ -62,7 +65,7 @@ class Rounds:
 
     def next(self, df: DataFrame) -> DataFrame:
         before, self.last = self.last, materialise(df, self.name)
-        if before is not None:
+        if before is not None and before is not self.last:
             discard(before)
         return self.last
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import fresh, slices, text_buffer, trim
 
@@ -160,7 +161,10 @@ def learn(docs: DataFrame, learnable: Column, lang_col: str = "lang", text_col:
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """docs' columns `keep` (all by default) with the predicted language and its score."""
     keep = docs.columns if keep is None else keep
-    letters = docs.select(*keep, F.col(text_col).alias(fresh(keep, "_text")), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(fresh(keep, "_letters")))
+    at = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType == StringType() else None
+    text = [F.col(text_col).alias(fresh(keep, "_text"))] if at is None else []  # a text that is kept is sent once
+    source, flag = len(keep) if at is None else at, len(keep) + len(text)
+    letters = docs.select(*keep, *text, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(fresh(keep, "_letters")))
     if model is None:
         return letters.select(*keep, F.lit("und").alias(lang_as), F.lit(0.0).alias(score_as))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -169,10 +173,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         own = shared.value
         names = np.array([*own.langs, "und"], object)
         for batch in batches:
-            data, offsets = text_buffer(batch.column(len(keep)))
-            letters = np.array(batch.column(len(keep) + 1).to_pylist(), bool)
+            data, offsets = text_buffer(batch.column(source))
+            letters = np.array(batch.column(flag).to_pylist(), bool)
             best, score = np.full(len(letters), len(own.langs)), np.zeros(len(letters))
-            for a, b in slices(offsets, 1_000_000):
+            for a, b in slices(offsets, 250_000):
                 bits = own.lengths(*_padded(data, offsets, a, b))
                 low = bits.min(1, keepdims=True)
                 best[a:b] = bits.argmin(1)

@@ -14,7 +14,8 @@ bit vector. Within a segment no table of 64-bit offsets exists; between partitio
 partition goes to the driver.
 
 Encoding. Byte-level BPE works on pre-tokens independently of each other, so pre-tokens are cut by array
-operations, and the tokenizers library encodes each distinct one once per worker. A text that contains a special
+operations, and the tokenizers library encodes each distinct one once per worker, or again after the table of known
+ones was full and emptied. A text that contains a special
 token's string is encoded by the library as a whole, as are files with other pre-tokenizers.
 
 Defined cases: null text is the empty text (only the end id); null doc_ids come first, repeated ids in order of
@@ -37,10 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, slices, span_hashes
+from .common import materialise, mix, slices, span_hashes, trim
 
 MAGIC = b"TWEF"
 _SAMPLE = 64
+#: Code points that are encoded at a time; their arrays are a hundred times as large in bytes.
+SLICE = 250_000
+#: Distinct pre-tokens that a worker knows at most.
+KNOWN = 500_000
 _SEP = 4
 #: White_Space of Unicode.
 _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -147,7 +152,7 @@ def _encoder(path: str):
         pieces = [text[4 * a : 4 * b].decode("utf-32-le", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         return [x.ids for x in known.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    cache = Pretokens(of_spans)
+    cache = Pretokens(of_spans, KNOWN)
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = [i for i, x in enumerate(texts) if not plain or any(s in x for s in special)]
@@ -229,7 +234,7 @@ class Segment:
 SEGMENTS = "part int, segment int, first long, n_docs long, n_ids long, blob binary"
 
 
-def write_segments(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, segment_ids: int = 1_000_000, partitions: int | None = None) -> DataFrame:
+def write_segments(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, segment_ids: int = 250_000, partitions: int | None = None) -> DataFrame:
     """Rows of SEGMENTS, not yet written: part and segment order is doc_id order; `first` counts the ids of the
     part's earlier segments. A segment closes at `segment_ids` ids or 8192 documents; a longer document stands alone."""
     spark = docs.sparkSession
@@ -244,7 +249,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sizes = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
-            for a, b in slices(sizes, 1_000_000):
+            for a, b in slices(sizes, SLICE):
                 got, counts = encode(texts[a:b])
                 ends = np.cumsum(counts + 1)
                 full = np.full(int(ends[-1]), end_id, np.uint32)
@@ -258,6 +263,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     segment, kept = segment + 1, []
         if kept:
             yield _row(part, segment, first, kept)[0]
+        trim()
 
     return ordered.mapInArrow(run, SEGMENTS)
 
@@ -293,6 +299,7 @@ def read_segments(segments: DataFrame) -> DataFrame:
                     [pa.array(s.doc_ids, mask=np.arange(s.n) < s.nulls), pa.array(starts + start), pa.array(ends - starts), pa.array(sums, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
+        trim()
 
     found = segments.join(F.broadcast(base), "part").select((F.col("first") + F.col("base")).alias("start"), "blob")
     return found.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
