@@ -356,3 +356,18 @@ def test_workers_stay_small(spark, tmp_path):
     assert kept.inputFiles() and sorted(map(tuple, kept.collect())) == rows
     text_twice = language_id.identify(docs, language_id.learn(docs, F.lit(True)))._jdf.queryExecution().analyzed().toString()
     assert "AS _text" not in text_twice
+
+
+def test_templates_hold_on_all_pages(spark):
+    """What nineteen pages share and the twentieth doesn't is no template, whichever page that is; pages in any order
+    and in any partitions give the same wrapper."""
+    def page(i, odd):
+        return f"<html><article><h1>Title {i}</h1><p>Story {i} of words and more words</p></article><div><p>x{i}</p></div>".replace("</article>", f"<blockquote>{'Its own words' if odd else 'Shared words'}</blockquote><h2>Always</h2></article>")
+
+    rows = [(20 * k + i, f"http://h{k}.org/{i}", page(i, i == k)) for k in range(20) for i in range(20)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html_extract.extract(frame).collect()}
+    assert all(len(x) == 3 and x[2] == ("Its own words" if i // 20 == i % 20 else "Shared words") for i, x in got.items())
+    told = {html_extract.expression(html_extract.infer([h for _, _, h in rows[:20]][k:] + [h for _, _, h in rows[:20]][:k])) for k in range(20)}
+    survey = html_extract.surveyed(frame.filter("page_id < 20").repartition(7).withColumn("host", F.lit("h0.org")))
+    assert told == {html_extract.wrappers(survey).first().wrapper}

@@ -1,7 +1,8 @@
 """Main-text extraction by union-free regular expressions over same-host token streams.
 
-Inference: of each host, up to `sample` pages (smallest hashes of their ids) are tokenised into tags and text.
-Tandem repeats are folded into repeated groups, then the streams are aligned one after the other: what only some
+Inference: every page of each host is tokenised into tags and text, and tandem repeats are folded into repeated
+groups. Streams of one shape are merged place by place, in each task and then between tasks, in any order; a host's
+different shapes are aligned in the order of their hashes, by parts of the hash in three rounds. What only some
 pages have becomes an optional group (or joins a neighbouring repeated group with the same content), and differing
 texts become slots. The result is a wrapper: a regular expression of tags, constant texts, slots, (...)? and (...)+.
 
@@ -24,6 +25,7 @@ container ends; a self-closed or unclosed svg, iframe or the like is only its ta
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from bisect import bisect_left
@@ -33,11 +35,15 @@ from difflib import SequenceMatcher
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .url_filter import parts
 
+#: Unlike pages that must have a place before its texts can be template.
+LEAST = 3
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -150,8 +156,14 @@ def blocks(html: str) -> list[tuple[str, str, bool, int]]:
 
 
 def stream(html: str) -> list:
-    """Tokens of a page for alignment: (path of containers) steps and texts, with tandem repeats folded."""
-    return fold([("b", path, bad, link, text, {text}, 1) for path, text, bad, link in blocks(html)])
+    """Tokens of a page for alignment: (path of containers) steps and texts, with tandem repeats folded. Each has a
+    fingerprint of the page's texts."""
+    return _stream(blocks(html))
+
+
+def _stream(found: list[tuple[str, str, bool, int]]) -> list:
+    mark = hashlib.blake2b("\n".join(t for _, t, _, _ in found).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+    return fold([("b", path, bad, link, text, {text}, {mark}) for path, text, bad, link in found])
 
 
 def _key(node) -> str:
@@ -184,10 +196,11 @@ def fold(nodes: list, longest: int = 8) -> list:
 
 def _merge(x, y, pages: bool):
     """Two nodes of one shape as one; differing texts become a slot (None). Of different pages, the texts that both
-    have at the place are kept; within a page, all of them."""
+    have at the place are kept; within a page, all of them. Of the pages' fingerprints the LEAST smallest are kept, which
+tell exactly whether there are so many unlike ones."""
     if x[0] == "b":
-        texts, n = (x[5] & y[5], x[6] + y[6]) if pages else (x[5] | y[5], x[6])
-        return ("b", x[1], x[2] and y[2], x[3] + y[3], x[4] if x[4] == y[4] else None, texts, n)
+        texts, marks = x[5] & y[5] if pages else x[5] | y[5], set(sorted(x[6] | y[6])[:LEAST])
+        return ("b", x[1], x[2] and y[2], max(x[3], y[3]), x[4] if x[4] == y[4] else None, texts, marks)
     return (x[0], [_merge(a, b, pages) for a, b in zip(x[1], y[1], strict=True)])
 
 
@@ -268,23 +281,50 @@ def _leaves(nodes: list):
             yield from _leaves(node[1])
 
 
-def infer(pages: list[str]) -> list:
-    """The wrapper of a host's sample pages. Pages with the same texts are one page."""
+def gather(shapes: dict[str, list], own: list) -> None:
+    """Put a stream or wrapper to those of its shape."""
+    shape = "|".join(map(_key, own))
+    known = shapes.get(shape)
+    shapes[shape] = own if known is None else [_merge(x, y, True) for x, y in zip(known, own, strict=True)]
+
+
+def _hash(shape: str) -> int:
+    return int.from_bytes(hashlib.blake2b(shape.encode("utf-8", "surrogatepass"), digest_size=8).digest()) >> 1
+
+
+def joined(shapes: dict[str, list]) -> list:
+    """The wrapper of all shapes, aligned in the order of their hashes."""
     wrapper: list | None = None
-    seen = set()
-    for html in pages:
-        own, texts = stream(html), tuple(x[1] for x in blocks(html))
-        if own and texts not in seen:
-            seen.add(texts)
-            wrapper = own if wrapper is None else align(wrapper, own)
+    for shape in sorted(shapes, key=lambda x: (_hash(x), x)):
+        wrapper = shapes[shape] if wrapper is None else align(wrapper, shapes[shape])
     return wrapper or []
 
 
-def fixed(wrapper: list, least: int = 3) -> dict[str, list[str]]:
-    """path -> texts that every page with the place has there, of places on at least `least` unlike pages: the template."""
+def infer(pages: list[str]) -> list:
+    """The wrapper of a host's pages, in whatever order they come. Pages with the same texts count as one page."""
+    shapes: dict[str, list] = {}
+    for html in pages:
+        if own := stream(html):
+            gather(shapes, own)
+    return joined(shapes)
+
+
+def _written(nodes: list) -> str:
+    return json.dumps(nodes, default=sorted)
+
+
+def _read(body: str) -> list:
+    def node(x):
+        return (*x[:5], set(x[5]), set(x[6])) if x[0] == "b" else (x[0], [node(y) for y in x[1]])
+
+    return [node(x) for x in json.loads(body)]
+
+
+def fixed(wrapper: list) -> dict[str, list[str]]:
+    """path -> texts that every page with the place has there, of places on at least LEAST unlike pages: the template."""
     out: dict[str, list[str]] = {}
     for _, path, _, _, _, texts, pages in _leaves(wrapper):
-        if texts and pages >= least:
+        if texts and len(pages) >= LEAST:
             out.setdefault(path, []).extend(sorted(texts))
     return out
 
@@ -343,45 +383,72 @@ def main_text(html: str | None, told: dict | None) -> str:
     return "\n".join(t for _, t in [x for x in kept if x[1] not in template.get(x[0], ())] or kept)
 
 
-def host_roots(pages: DataFrame) -> DataFrame:
-    """(host, roots): the roots that at least two pages of the host have by themselves, most pages first, from every
-    row of pages(host, html). Counts are combined in each task before they are dealt by host and root."""
+def surveyed(pages: DataFrame, most: int = 2000) -> DataFrame:
+    """What each task found in its rows of pages(host, html), as rows of two kinds, combined in the task:
+    (host, shape, body) for the merged streams of one shape, and (host, root, n) for the pages with an own root. A task
+    holds up to `most` shapes before it writes them."""
+
+    def rows(shapes: dict[str, dict[str, list]], counts: Counter[tuple[str, str]]) -> pa.RecordBatch:
+        found = [(h, _hash(k), _written(x), None, None) for h, own in shapes.items() for k, x in own.items()]
+        found += [(h, None, None, r, n) for (h, r), n in counts.items()]
+        columns = zip(*found, strict=True) if found else [()] * 5
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["host", "shape", "body", "root", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes: dict[str, dict[str, list]] = {}
+        counts: Counter[tuple[str, str]] = Counter()
         for batch in batches:
-            counts: Counter[tuple[str, str]] = Counter()
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                root = article_root([(p, bad, len(t), link) for p, t, bad, link in blocks(html.as_py() or "")])
+                found = blocks(html.as_py() or "")
+                root = article_root([(p, bad, len(t), link) for p, t, bad, link in found])
                 if root not in ("", "article", "main"):
                     counts[host, root] += 1
-            columns = [pa.array([h for h, _ in counts], pa.string()), pa.array([r for _, r in counts], pa.string()), pa.array(counts.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "root", "n"])
+                if found:
+                    gather(shapes.setdefault(host, {}), _stream(found))
+                    if len(shapes[host]) > most or len(shapes) > most or len(counts) > most:
+                        yield rows(shapes, counts)
+                        shapes, counts = {}, Counter()
+        yield rows(shapes, counts)
+
+    return pages.select("host", "html").mapInArrow(run, "host string, shape long, body string, root string, n long")
+
 
-    counts = pages.select("host", "html").mapInArrow(run, "host string, root string, n long").groupBy("host", "root").agg(F.sum("n").alias("n")).filter("n > 1")
+def host_roots(survey: DataFrame) -> DataFrame:
+    """(host, roots): the roots that at least two pages of the host have by themselves, most pages first."""
+    counts = survey.filter("root IS NOT NULL").groupBy("host", "root").agg(F.sum("n").alias("n")).filter("n > 1")
     listed = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "root")))
     return counts.groupBy("host").agg(F.transform(listed, lambda x: x["root"]).alias("roots"))
 
 
-def wrappers(pages: DataFrame, sample: int = 6) -> DataFrame:
-    """(host, wrapper, fixed): the inferred expression of each host and its constant texts by path, from pages(host, page_id, html)."""
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")))
-    few = pages.select("host", "page_id", "html").withColumn("rank", rank).filter(F.col("rank") <= sample)
+def wrappers(survey: DataFrame) -> DataFrame:
+    """(host, wrapper, fixed): the inferred expression of each host and its constant texts by path, from all pages.
+    Shapes are aligned in 4096 parts of a host, then in 64, then all, so a task gets a part's shapes, not a host's."""
 
-    def run(group: pa.Table) -> pa.Table:
-        own = group.sort_by("rank")
-        wrapper = infer([x or "" for x in own["html"].to_pylist()])
-        return pa.table({"host": own["host"][:1], "wrapper": [expression(wrapper)], "fixed": [json.dumps(fixed(wrapper))]})
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        shapes: dict[str, list] = {}
+        for body in group["body"]:
+            gather(shapes, _read(body.as_py()))
+        return pa.table({"host": [key[0].as_py()], "shape": [key[1].as_py()], "body": [_written(joined(shapes))]})
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_read(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(expression, found), pa.string()), pa.array([json.dumps(fixed(x)) for x in found], pa.string())], names=["host", "wrapper", "fixed"])
 
-    return few.groupBy("host").applyInArrow(run, "host string, wrapper string, fixed string")
+    rows = survey.filter("body IS NOT NULL").select("host", "shape", "body")
+    for parts_of in (4096, 64, 1):
+        rows = rows.groupBy("host", F.pmod("shape", F.lit(parts_of)).alias("part")).applyInArrow(run, "host string, shape long, body string")
+    return rows.select("host", "body").mapInArrow(shown, "host string, wrapper string, fixed string")
 
 
-def extract(pages: DataFrame, sample: int = 6, broadcast_hosts: int = 20_000) -> DataFrame:
+def extract(pages: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html)."""
     source = pages.select("page_id", "url", "html", F.coalesce(parts(F.col("url"))[0], F.lit("")).alias("host"))
-    named = source.filter("host <> ''")
-    roots = host_roots(named).select("host", F.to_json("roots").alias("roots"))
+    survey = materialise(surveyed(source.filter("host <> ''")), "survey")
+    roots = host_roots(survey).select("host", F.to_json("roots").alias("roots"))
     told = F.concat(F.lit('{"roots":'), F.coalesce("roots", F.lit("[]")), F.lit(',"fixed":'), F.coalesce("fixed", F.lit("{}")), F.lit("}"))
-    hosts = wrappers(named, sample).join(roots, "host", "full").select("host", told.alias("told"))
+    hosts = wrappers(survey).join(roots, "host", "full").select("host", told.alias("told"))
     few = source.select("host").distinct().limit(broadcast_hosts + 1).count() <= broadcast_hosts
     joined = source.join(F.broadcast(hosts) if few else hosts, "host", "left").select("page_id", "url", "html", "told")
 
