@@ -8,11 +8,11 @@ writes token ids and describes each document from the files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwell.llm import decontaminate, language_id, mixing, near_dedup, queries, token_output
-from tickwell.llm.common import WORD, fresh, materialise
+from tickwell.llm.common import WORD, discard, fresh, materialise
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +24,21 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of its smallest id, whatever rows repeat it. Documents without words are
-    groups of their own."""
+    groups of their own.
+
+    Rows of one id and text are merged in each task before they are dealt by both, so a text is shuffled once and not
+    held twice; the groups' documents are then picked where these rows lie."""
     told = near_dedup.classified(docs).filter("doc_id <=> component_id AND th = kept_th").select("doc_id", "th").distinct()
-    key, text_hash = fresh(docs.columns, "_key"), fresh(docs.columns, "_hash")
-    own = docs.withColumn(text_hash, F.xxhash64("text"))
-    told = told.select(F.col("doc_id").alias(key), F.col("th").alias(key + "_th"))
-    kept = own.join(told, (F.col(text_hash) == F.col(key + "_th")) & F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
-    order = F.struct(*[c for c, kind in docs.dtypes if kind in ("string", "bigint", "int", "double", "boolean", "float", "date", "timestamp")])
-    one = kept.groupBy("doc_id", text_hash).agg(F.min_by(F.struct(*docs.columns), order).alias(key)).select(f"{key}.*")
+    none, key, text_hash, row = (fresh(docs.columns, c) for c in ("_none", "_key", "_hash", "_row"))
+    names = [none, key, text_hash]
+
+    def keyed(df: DataFrame, hashed: Column, *rest: Column) -> DataFrame:
+        own = F.col("doc_id").cast("long")  # plain equality, also of null ids, so that one dealing serves both steps
+        return df.select(own.isNull().alias(none), F.coalesce(own, F.lit(0)).alias(key), hashed.alias(text_hash), *rest)
+
+    order = F.struct(text_hash, *[c for c, kind in docs.dtypes if c != "text" and kind in ("string", "bigint", "int", "double", "boolean", "float", "date", "timestamp")])
+    one = keyed(docs, F.xxhash64("text"), "*").groupBy(*names).agg(F.min_by(F.struct(*docs.columns), order).alias(row))
+    one = one.join(keyed(told, F.col("th")), names, "left_semi").select(f"{row}.*")
     wordless = F.coalesce(~F.col("text").rlike(WORD), F.lit(True))
     return one.union(docs.filter(wordless))
 
@@ -68,5 +75,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        discard(before)  # the stage before; an input of one's own is left alone
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -341,6 +342,27 @@ def test_pipeline_from_end_to_end(spark):
     assert len(out) == len(after["mixing"]) and sum(r.n_tokens for r in out) == max(r.start + r.n_tokens for r in out)
 
 
+def test_near_dedup_stage_shuffles_texts_once_and_leaves_small_tables(spark):
+    """Rows of one id and text, null ids among them, are merged to their least row; the stage's plan deals texts by one
+    exchange, and of the tables on the way only those stay that its result reads."""
+    kind = "doc_id long, text string, source string, size int"
+    near = sentence(1).split()
+    near[30] = "CHANGED"
+    rows = [(5, sentence(1), s, n) for s, n in (("b", 1), ("a", 9), ("a", 2), (None, 3))] + [(6, " ".join(near), "a", 0), (0, sentence(2), "z", 1), (None, sentence(2), "a", 1)]
+    rows += [(None, sentence(3), "b", 2), (None, sentence(3), "b", 1), (5, sentence(4), "c", 1), (7, " ", "d", 1), (7, " ", "d", 1), (None, None, "e", 1)]
+    folder = Path(scratch(spark).removeprefix("file:"))
+    before = set(folder.glob("*"))
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, kind).repartition(3), "")
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    want = [(5, sentence(1), None, 3), (0, sentence(2), "z", 1), (None, sentence(3), "b", 1), (5, sentence(4), "c", 1), (7, " ", "d", 1), (7, " ", "d", 1), (None, None, "e", 1)]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert left == {"signatures", "known", "labels"}
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    told = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), "")._jdf.queryExecution().explainString(mode)
+    dealt = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: (.*)", told, re.M)
+    assert dealt and sum(bool(re.search(r"\btext#|valueWithExtremumOrdering#|_row#", x)) for x in dealt) == 1
+
+
 def test_workers_stay_small(spark, tmp_path):
     """A worker's arrays while it encodes distinct words, and the batches of the pipeline's first stage."""
     encode = token_output._encoder(queries.tokenizer_path())

@@ -228,7 +228,9 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = _buckets(classes, t)
     met = materialise(buckets.groupBy("rep").agg(F.sum("members").alias("central")), "met")
     wanted = classes.join(met, "rep").select("rep", "first.th")
-    texts = materialise(source.select("th", "text").join(wanted.hint("merge"), "th").select("rep", "text").dropDuplicates(["rep"]), "texts")
+    # copies are merged before their text is dealt by its hash, and the join needs no other dealing
+    one = source.select("th", "text").dropDuplicates(["th"])
+    texts = materialise(one.join(wanted.hint("merge"), "th").select("rep", "text"), "texts")
     marks = classes.select("rep", "marks")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -250,11 +252,18 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = buckets.join(joined, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     open_ = materialise(told.join(mixed.select("key"), "key").select("rep", "component").distinct(), "open")
+    discard(buckets)
+    discard(met)
     sets = texts.join(open_.select("rep"), "rep").mapInArrow(_shingles, "rep long, s array<long>").join(open_, "rep").withColumn("n", F.size("s"))
-    links = links.union(verify(prefix_pairs(materialise(sets, "sets"), similarity)))
-    joined = components(links).withColumnRenamed("vertex", "rep")
+    sets = materialise(sets, "sets")
+    across = verify(prefix_pairs(sets, similarity))
+    for table in (sets, open_, texts):
+        discard(table)
+    joined = components(links.union(across)).withColumnRenamed("vertex", "rep")
 
     known = materialise(classes.select("rep", "set_b", "first").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "known")
+    for table in (links, across, classes):
+        discard(table)
     least = known.groupBy("component").agg(F.min("first").alias("least"))
     labels = known.join(least, "component").select(F.col("rep").alias("set_a"), "set_b", "least")
     out = signed.select("doc_id", "th", "n_shingles", "set_a", "set_b").join(labels, ["set_a", "set_b"], "left")
